@@ -1,7 +1,7 @@
 """All queries of this subpackage by name, and SQL where it can say the same."""
 
-from . import langid, line_dedup, ngram_join, packing, pii
+from . import html, langid, line_dedup, ngram_join, packing, pii, quality, topk
 
-MODULES = (ngram_join, pii, line_dedup, packing, langid)
+MODULES = (html, ngram_join, quality, pii, line_dedup, packing, langid, topk)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in getattr(m, "ORACLES", {}).items()}
