@@ -136,7 +136,7 @@ def asset_detail(s, d):
     return T.asset(s, d).select("hash", "rel_path").join(held, "hash", "left").select("hash", "rel_path", F.coalesce("placements", F.lit(0)).alias("placements"), "states")
 
 
-@query("event_tail", "select id, kind, strftime(moment, '%Y-%m-%dT%H:%M:%S') as "at" from event order by id desc limit 20")
+@query("event_tail", "select id, kind, strftime(moment, '%Y-%m-%dT%H:%M:%S') as \"at\" from event order by id desc limit 20")
 def event_tail(s, d):
     return T.event(s, d).orderBy(F.desc("id")).limit(20).select("id", "kind", S.rendered(F.col("at")).alias("at"))
 
