@@ -35,7 +35,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import table, texts, tidied
 
 KEEP = 300_000
 LONGEST = 256
@@ -240,7 +240,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFra
         if ids:
             yield portion(ids, streams)
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts(docs).mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

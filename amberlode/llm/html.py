@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table, tidied
 
 SMOOTH = np.array([0.06, 0.24, 0.4, 0.24, 0.06])
 THRESHOLD = 0.4
@@ -197,6 +197,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages(page_id, url, html)."""
+    small_batches(pages.sparkSession)
     given = pages.select("page_id", "url", F.col("html").alias("__html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +205,7 @@ def extract(pages: DataFrame) -> DataFrame:
             said = [main_text(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said, pa.string()), pa.array(map(len, said), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return given.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return given.mapInArrow(tidied(run), f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, stash, table
+from .common import crc_mod, small_batches, stash, table, tidied
 
 MIN_SHARE = 2e-5
 KEEP = 0.3
@@ -124,7 +124,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
         for batch in batches:
             for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.setdefault(name, []).append(_grams(t))
-                if sum(map(len, held[name][-64:])) > 4_000_000 or len(held[name]) >= 512:
+                if sum(map(len, held[name][-64:])) > 2_000_000 or len(held[name]) >= 256:
                     fold(name)
         for name in held:
             if held[name]:
@@ -132,8 +132,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
             keys, counts = done[name]
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys)), pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
 
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    grams = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = rows.mapInArrow(tidied(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams = stash(grams, "grams")
     total = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(total)
@@ -151,6 +152,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
 
 def predict(docs: DataFrame, filters: Filters, keep: list[Column | str], text: str = "text") -> DataFrame:
     """The columns in keep with lang_pred and score."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(filters)
     given = docs.select(*keep, F.col(text).alias("__text"))
     fields = [f for f in given.schema.fields if f.name != "__text"]
@@ -162,7 +164,7 @@ def predict(docs: DataFrame, filters: Filters, keep: list[Column | str], text: s
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], names=[*[f.name for f in fields], "lang_pred", "score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string", "score double"])
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(tidied(run), schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stash, table, texts
+from .common import components, stash, table, texts, tidied
 
 SKETCH_BITS = 22
 SLICES = 64
@@ -106,7 +106,7 @@ def order_levels(docs: DataFrame, n: int) -> np.ndarray:
         return pa.table({"slice": [key[0].as_py()], "at": [key[1].as_py()], "counts": [zstandard.ZstdCompressor(level=1).compress(small.tobytes())]}, schema=arrow)
 
     parts = docs.rdd.getNumPartitions()
-    df = docs.select("text").mapInArrow(count, schema)
+    df = docs.select("text").mapInArrow(tidied(count), schema)
     while True:
         df = df.withColumn("at", F.floor(F.col("at") / FAN_IN).cast("long")).groupBy("slice", "at").applyInArrow(merge, schema)
         parts = -(-parts // FAN_IN)
@@ -153,7 +153,7 @@ def prefixes(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), signed(nids), signed(gids), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)).cast(pa.list_(pa.int64()))], schema=arrow)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, nid long, gid long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, size long, nid long, gid long, prefix array<long>")
 
 
 def _sets(docs: DataFrame, seen, n: int) -> DataFrame:
@@ -170,7 +170,7 @@ def _sets(docs: DataFrame, seen, n: int) -> DataFrame:
                 nids = np.array([xxhash.xxh3_64_intdigest(x) for x in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(nids), pa.array(sets, pa.binary())], schema=arrow)
 
-    return docs.select("text", _bit().alias("bit")).mapInArrow(run, "nid long, members binary")
+    return docs.select("text", _bit().alias("bit")).mapInArrow(tidied(run), "nid long, members binary")
 
 
 def _bit():
@@ -211,7 +211,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, perce
 
     with_a = pairs.join(sets.select(F.col("nid").alias("a"), F.col("members").alias("ma")), "a")
     both = with_a.join(sets.select(F.col("nid").alias("b"), F.col("members").alias("mb")), "b")
-    return both.select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ma", "mb").mapInArrow(tidied(run), "a long, b long")
 
 
 def link_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:

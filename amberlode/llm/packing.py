@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, texts
+from .common import table, texts, tidied
 from .tokens import Segments, encoding
 
 TIERS = (128, 256, 512, 1024)
 STEP = 65_536
-PORTION = 3_000_000
+PORTION = 1_500_000
 END = 0
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_group long"
@@ -148,7 +148,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, tiers: tuple[i
         packer.finish()
         yield from out()
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    return texts(docs).mapInArrow(tidied(run), SCHEMA)
 
 
 def public_tokenizer() -> tuple[str, str]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import table, texts, tidied
 
 LABELLED = 6_000
 CUTS = 48
@@ -84,7 +84,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             rows = [text_statistics(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], names=names) if rows else batch.slice(0, 0)
 
-    return texts(docs).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return texts(docs).mapInArrow(tidied(run), ", ".join(f"{n} long" for n in names))
 
 
 @dataclass(frozen=True)

@@ -13,7 +13,7 @@ import json
 import numpy as np
 import tiktoken
 
-KEEP = 250_000
+KEEP = 200_000
 LONGEST = 64
 
 
