@@ -62,10 +62,10 @@ def capture_time(sources: list[tuple[str, Column]], this_year: int) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """Bytes to base 1024 with one decimal; whole bytes below 1024."""
-    out = F.concat(F.format_string("%.1f", n / 1024.0**4), F.lit(" TB"))
+    """Bytes to base 1024 with one decimal, halves to even; whole bytes below 1024."""
+    out = F.concat(F.format_string("%.1f", F.bround(n / 1024.0**4, 1)), F.lit(" TB"))
     for k, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
-        out = F.when(n < 1024 ** (k + 1), F.concat(F.format_string("%.1f", n / 1024.0**k), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n < 1024 ** (k + 1), F.concat(F.format_string("%.1f", F.bround(n / 1024.0**k, 1)), F.lit(f" {unit}"))).otherwise(out)
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(out)
 
 
