@@ -10,9 +10,11 @@ words, the whole sequence as one). Documents link when
 2. Documents with equal sets become one node; nodes with equal prefix and equal
    size become one group, which stands in the prefix index once.
 3. Candidate group pairs share a prefix shingle and pass the size and position
-   filters. A first round tries every group only against the smallest of each
-   shingle's list, a second tries what is still in different components, so
-   that a large set of near copies never spells out its pairs.
+   filters. Each shingle's groups are cut into cells of neighbouring sizes. A
+   first round tries every group of a cell only against the one with the fewest
+   rarer shingles, so that a large set of near copies or of documents with one
+   common passage never spells out its pairs. A second takes the rows of a cell
+   for which a set of another component could still follow, and pairs them.
 4. Group pairs are expanded to their nodes and verified exactly on whole sets.
 
 Nulls and texts without words have size 0 and stand alone. Repeated rows have
@@ -225,23 +227,37 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     nodes = stash(nodes, "nodes")
     groups = filled.groupBy("gid").agg(F.first("prefix").alias("prefix"), F.first("size").alias("size"))
     index = groups.select("gid", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("pos", "token")).repartition("token")
-    shared = index.groupBy("token").agg(F.min("gid").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = index.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     index = stash(index.join(shared, "token"), "index")
 
     # Size and position filters, on sizes p, q and prefix positions i, j of a common shingle.
+    def near(p, q):
+        return F.least(p, q) * 100 >= F.greatest(p, q) * percent
+
     def may(p, q, i, j):
         need = F.ceil((p + q) * percent / (100 + percent) - 1e-6)
-        return (F.least(p, q) * 100 >= F.greatest(p, q) * percent) & (1 + F.least(p - i - 1, q - j - 1) + F.least(i, j) >= need)
+        return near(p, q) & (1 + F.least(p - i - 1, q - j - 1) + F.least(i, j) >= need)
+
+    # At the first common shingle of a pair that links, what follows in both prefixes and sets must hold the whole overlap.
+    def leads(p, q, i, j):
+        return near(p, q) & (F.least(p - i, q - j) * (100 + percent) >= (p + q) * percent)
 
     # Overlap that c common shingles of both prefixes leave possible: one of them has been compared whole.
     def could(p, q, c):
         rest = F.ceil(F.greatest(p, q) * percent / 100 - 1e-6) - 1
         return c + rest >= F.ceil((p + q) * percent / (100 + percent) - 1e-6)
 
-    # Round one: each group against the smallest group of each shingle; each node of a group against its first.
+    # Sizes that may link differ by one step at most; a cell holds the sizes of two neighbouring steps.
+    step = F.floor(F.log(F.col("size").cast("double")) / np.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("size")
+
+    def celled(df: DataFrame) -> DataFrame:
+        return df.withColumn("cell", F.explode(F.array(step, step + 1)))
+
+    # Round one: each group against the one of each shingle and cell that has the fewest rarer ones, so the least own text; each node of a group against its first.
     # Not all common shingles are counted here; what that turns away comes again in round two.
-    of = index.select("token", F.col("gid").alias("rep"), F.col("size").alias("q"), F.col("pos").alias("j"))
-    star = index.where("gid <> rep").join(of, ["token", "rep"]).where(may(F.col("size"), F.col("q"), F.col("pos"), F.col("j"))).groupBy(F.col("rep").alias("ga"), F.col("gid").alias("gb")).agg(F.count("*").alias("c"), F.first("size").alias("p"), F.first("q").alias("q"))
+    cells = celled(index)
+    reps = cells.groupBy("token", "cell").agg(F.min(F.struct("pos", "size", "gid")).alias("r"), F.count("*").alias("n")).where("n > 1").select("token", "cell", F.col("r.gid").alias("rep"), F.col("r.size").alias("q"), F.col("r.pos").alias("j"))
+    star = cells.join(reps, ["token", "cell"]).where("gid <> rep").where(may(F.col("size"), F.col("q"), F.col("pos"), F.col("j"))).groupBy(F.col("rep").alias("ga"), F.col("gid").alias("gb")).agg(F.count("*").alias("c"), F.first("size").alias("p"), F.first("q").alias("q"))
     star = star.where(could(F.col("p"), F.col("q"), F.col("c"))).select("ga", "gb")
     first = nodes.groupBy("gid").agg(F.min("nid").alias("nid"), F.count("*").alias("n"))
     within = nodes.join(first.where("n > 1").select("gid", F.col("nid").alias("a")), "gid").where("nid <> a").select("a", F.col("nid").alias("b"))
@@ -254,15 +270,19 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 
     # Round two: what shares a shingle and is still apart.
     placed = stash(nodes.join(index.select("gid").unionByName(first.where("n > 1").select("gid")).distinct(), "gid", "left_semi").join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("nid", "gid", F.coalesce("root", "nid").alias("root")), "placed")
-    tokens = index.join(placed, "gid").select("token", "gid", "nid", "root", "size", "pos")
-    mixed = tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    tokens = stash(tokens.join(mixed, "token"), "apart")
-    heads2 = tokens.select("token", "root").distinct()
-    meet = heads2.join(heads2.select("token", F.col("root").alias("other")), "token").where("root < other")
-    left = meet.join(tokens, ["token", "root"]).select("token", "other", F.col("nid").alias("a"), F.col("size").alias("p"), F.col("pos").alias("i"))
-    right = tokens.select("token", F.col("root").alias("other"), F.col("nid").alias("b"), F.col("size").alias("q"), F.col("pos").alias("j"))
-    late = left.join(right, ["token", "other"]).where(may(F.col("p"), F.col("q"), F.col("i"), F.col("j")))
-    late = late.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("c"), F.first("p").alias("p"), F.first("q").alias("q")).where(could(F.col("p"), F.col("q"), F.col("c"))).select("a", "b")
+    # A row stays where the smallest set of another component in its cell leaves a first common shingle possible.
+    tokens = celled(index.join(placed, "gid").select("token", "nid", "root", "size", "pos"))
+    least = tokens.groupBy("token", "cell", "root").agg(F.min("size").alias("m"))
+    mixed = least.groupBy("token", "cell").agg(F.min(F.struct("m", "root")).alias("lo"), F.min("root").alias("ra"), F.max("root").alias("rb")).where("ra <> rb").select("token", "cell", F.col("lo.m").alias("m1"), F.col("lo.root").alias("r1"))
+    second = least.join(mixed, ["token", "cell"]).where("root <> r1").groupBy("token", "cell").agg(F.min("m1").alias("m1"), F.min("r1").alias("r1"), F.min("m").alias("m2"))
+    other = F.when(F.col("root") == F.col("r1"), F.col("m2")).otherwise(F.col("m1"))
+    open_ = tokens.join(second, ["token", "cell"]).where((F.col("size") - F.col("pos")) * (100 + percent) >= (F.col("size") + other) * percent).select("token", "cell", "nid", "root", "size", "pos")
+    open_ = stash(open_, "apart")
+    still = open_.groupBy("token", "cell").agg(F.min("root").alias("ra"), F.max("root").alias("rb")).where("ra <> rb").select("token", "cell")
+    open_ = open_.join(still, ["token", "cell"], "left_semi")
+    left = open_.select("token", "cell", F.col("nid").alias("a"), F.col("root").alias("ra"), F.col("size").alias("p"), F.col("pos").alias("i"))
+    right = open_.select("token", "cell", F.col("nid").alias("b"), F.col("root").alias("rb"), F.col("size").alias("q"), F.col("pos").alias("j"))
+    late = left.join(right, ["token", "cell"]).where("ra < rb").where(leads(F.col("p"), F.col("q"), F.col("i"), F.col("j"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     mates = placed.join(placed.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gid"), "gid")
     mates = mates.select("gid", F.col("nid").alias("a"), F.col("root").alias("ra")).join(mates.select("gid", F.col("nid").alias("b"), F.col("root").alias("rb")), "gid").where("a < b and ra <> rb").select("a", "b")
     late = stash(late.unionByName(mates).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs2")
