@@ -23,8 +23,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of linked documents, and one of repeated rows."""
-    links = ngram_join.link_documents(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    """Keeps the document with the smallest id of each group of documents linked by five-word shingles at 0.8, and one of repeated rows."""
+    links = ngram_join.link_documents(docs, n=5, percent=80).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     out = docs.join(links.hint("shuffle_hash"), docs["doc_id"] == links["__id"], "left_semi")
     return out.dropDuplicates(["doc_id"]) if _repeats(docs) else out
 
