@@ -5,11 +5,13 @@ patterns below match what the contract's match, written so that Java's matcher
 needs neither recursion nor a second look at a run it has read: possessive
 loops, and starts only at the head of a run or where the last match ended.
 
-Bootstrapping looks at tokens that hold a digit. Base entities are the seeds.
-The two words on the left of a token are a lexical pattern; patterns and tokens
+Bootstrapping looks at tokens that hold a digit. Base entities are the seeds, each
+by the whole text of its span; other tokens count by their own text.
+The two words on the left of a token are a lexical pattern; patterns and values
 form a bipartite graph. In each of ROUNDS rounds a pattern's confidence is the
-share of score its distinct tokens carry, and a token's score is the noisy-or of
-its patterns; seeds keep score 1. A token that no base kind could be (letters or
+share of score its distinct values carry, and a value's score is the noisy-or of
+its patterns; seeds keep score 1. A value that a pattern of at least MIN_CONFIDENCE
+reaches is a seed from the next round on. A token that no base kind could be (letters or
 other signs stand in it), with at least 6 characters and 3 digits, becomes a span
 of kind `ident` where a pattern with enough seeds reaches MIN_CONFIDENCE.
 
@@ -105,7 +107,7 @@ def base_spans(text: Column) -> Column:
 
 
 def _tokens(text: Column, spans: Column) -> Column:
-    """Array of digit-bearing tokens: place, hash, pattern, whether a base span begins in it, whether it may become a span."""
+    """Array of digit-bearing tokens: place, hash of the base span or else the token, pattern, whether a base span begins in it, whether it may become a span."""
     kind = "array<struct<s:bigint,e:bigint,value:bigint,pattern:bigint,seed:boolean,free:boolean>>"
     none = F.array().cast(kind)
 
@@ -113,10 +115,12 @@ def _tokens(text: Column, spans: Column) -> Column:
         value = F.rtrim(hit, F.lit(".,;:!?)\"'"))
         end = begin + F.length(value)
         left = F.lower(F.regexp_extract(F.substr(gap, F.greatest(F.lit(1), F.length(gap) - 79)), r"(\S+\s+\S+)\s+$", 1))
-        seed = F.exists(spans, lambda x: (x["s"] >= begin) & (x["s"] < end))
+        base = F.filter(spans, lambda x: (x["s"] >= begin) & (x["s"] < end))
+        seed = F.size(base) > 0
+        said = F.when(seed, F.substr(text, (F.get(base, F.lit(0))["s"] + 1).cast("int"), (F.get(base, F.lit(0))["e"] - F.get(base, F.lit(0))["s"]).cast("int"))).otherwise(value)
         inside = F.exists(spans, lambda x: (x["s"] < begin) & (x["e"] > begin))
         free = (F.length(value) >= 6) & (F.length(_digits(value)) >= 3) & ~value.rlike(r"^[0-9 ().+-]+$") & ~F.contains(value, F.lit("@"))
-        one = F.array(F.struct(begin.cast("long").alias("s"), end.cast("long").alias("e"), F.xxhash64(value).alias("value"), F.xxhash64(left).alias("pattern"), seed.alias("seed"), free.alias("free"))).cast(kind)
+        one = F.array(F.struct(begin.cast("long").alias("s"), end.cast("long").alias("e"), F.xxhash64(said).alias("value"), F.xxhash64(left).alias("pattern"), seed.alias("seed"), free.alias("free"))).cast(kind)
         return F.when((left != "") & ~inside & (seed | free), F.concat(acc, one)).otherwise(acc)
 
     return F.when(text.rlike("[0-9]"), _walk(text, _TOKEN, none, out)).otherwise(none)
@@ -129,11 +133,14 @@ def learned_patterns(tokens: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     edges = edges.join(seeds, "value").select("pattern", "value", "seed")
     scores = None
     for _ in range(rounds):
-        held = edges.withColumn("score", F.col("seed").cast("double")) if scores is None else edges.join(scores, "value", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
+        held = edges.withColumn("score", F.col("seed").cast("double"))
+        if scores is not None:
+            held = edges.join(scores, "value", "left").withColumn("seed", F.col("seed") | F.coalesce("sure", F.lit(False)))
+            held = held.withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
         conf = held.groupBy("pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds"), (F.sum("score") / F.count("*")).alias("conf")).where((F.col("seeds") >= MIN_SEEDS) & (F.col("conf") > 0.5))
         conf = stash(conf.select("pattern", "conf"), "patterns")
         miss = F.log(F.greatest(F.lit(1e-9), 1 - F.col("conf")))
-        scores = edges.join(conf, "pattern").groupBy("value").agg((1 - F.exp(F.sum(miss))).alias("score"))
+        scores = edges.join(conf, "pattern").groupBy("value").agg((1 - F.exp(F.sum(miss))).alias("score"), (F.max("conf") >= MIN_CONFIDENCE).alias("sure"))
     return conf
 
 

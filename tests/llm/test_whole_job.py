@@ -3,6 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
+from amberlode.llm import html, pii
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -26,3 +27,21 @@ def test_stage_drops_near_copies_of_five_words_at_four_fifths(spark):
                 root = [x if z == y else z for z in root]
     got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, rows_of(spark, texts), "").collect()}
     assert got == set(root) and len(got) == 24
+
+
+def idents(spark, texts):
+    """Text of the learned spans of each text."""
+    said = {r["doc_id"]: [x.split(":") for x in r["spans"].split(",") if x] for r in pii.find_personal_data(rows_of(spark, texts)).collect()}
+    return [[t[int(s) : int(e)] for k, s, e in said[i] if k == "ident"] for i, t in enumerate(texts)]
+
+
+def test_phones_of_one_country_are_several_seeds(spark):
+    texts = [f"please ring me on +1 (555) 555-12{i:02d} at noon" for i in range(12)] + ["please ring me on x555-12-77a at noon"]
+    assert idents(spark, texts)[12] == ["x555-12-77a"]
+
+
+def test_discoveries_are_seeds_of_further_patterns(spark):
+    texts = [f"please write to mail{i}@x.org today" for i in range(40)] + [f"please write to key-10{i}-ab today" for i in range(4)]
+    texts += [f"the secret code key-10{i}-ab ends" for i in range(4)]
+    got = idents(spark, texts)
+    assert got[40:48] == [[f"key-10{i}-ab"] for i in range(4)] * 2
\ No newline at end of file
