@@ -11,9 +11,11 @@ The two words on the left of a token are a lexical pattern; patterns and values
 form a bipartite graph. In each of ROUNDS rounds a pattern's confidence is the
 share of score its distinct values carry, and a value's score is the noisy-or of
 its patterns; seeds keep score 1. A value that a pattern of at least MIN_CONFIDENCE
-reaches is a seed from the next round on. A token that no base kind could be (letters or
-other signs stand in it), with at least 6 characters and 3 digits, becomes a span
-of kind `ident` where a pattern with enough seeds reaches MIN_CONFIDENCE.
+reaches is a seed from the next round on. A token that no base span covers becomes a span
+of kind `ident` where a pattern with enough seeds reaches MIN_CONFIDENCE. The words
+of a pattern come from the whole text, with runs of digits as one 0 and empty words
+before the text's start. A value of less than 6 characters or 3 digits never turns
+into a seed, as it means something else elsewhere.
 
 Null texts count as empty: no spans, the digest of the empty string. Repeated
 rows are answered row by row, an empty table gives an empty result, whole texts
@@ -107,35 +109,41 @@ def base_spans(text: Column) -> Column:
 
 
 def _tokens(text: Column, spans: Column) -> Column:
-    """Array of digit-bearing tokens: place, hash of the base span or else the token, pattern, whether a base span begins in it, whether it may become a span."""
-    kind = "array<struct<s:bigint,e:bigint,value:bigint,pattern:bigint,seed:boolean,free:boolean>>"
+    """Array of digit-bearing tokens: place, hash of the base span or else the token, pattern, whether a base span begins in it, whether it says enough to become a seed."""
+    kind = "array<struct<s:bigint,e:bigint,value:bigint,pattern:bigint,seed:boolean,long:boolean>>"
     none = F.array().cast(kind)
+    init = F.struct(F.array(F.lit(""), F.lit("")).alias("last"), none.alias("all"))
 
     def out(acc: Column, hit: Column, begin: Column, gap: Column) -> Column:
         value = F.rtrim(hit, F.lit(".,;:!?)\"'"))
         end = begin + F.length(value)
-        left = F.lower(F.regexp_extract(F.substr(gap, F.greatest(F.lit(1), F.length(gap) - 79)), r"(\S+\s+\S+)\s+$", 1))
+        words = F.slice(F.concat(acc["last"], F.filter(F.split(gap, r"\s+", -1), lambda w: w != "")), -2, 2)
         base = F.filter(spans, lambda x: (x["s"] >= begin) & (x["s"] < end))
         seed = F.size(base) > 0
         said = F.when(seed, F.substr(text, (F.get(base, F.lit(0))["s"] + 1).cast("int"), (F.get(base, F.lit(0))["e"] - F.get(base, F.lit(0))["s"]).cast("int"))).otherwise(value)
         inside = F.exists(spans, lambda x: (x["s"] < begin) & (x["e"] > begin))
-        free = (F.length(value) >= 6) & (F.length(_digits(value)) >= 3) & ~value.rlike(r"^[0-9 ().+-]+$") & ~F.contains(value, F.lit("@"))
-        one = F.array(F.struct(begin.cast("long").alias("s"), end.cast("long").alias("e"), F.xxhash64(said).alias("value"), F.xxhash64(left).alias("pattern"), seed.alias("seed"), free.alias("free"))).cast(kind)
-        return F.when((left != "") & ~inside & (seed | free), F.concat(acc, one)).otherwise(acc)
+        long = (F.length(value) >= 6) & (F.length(_digits(value)) >= 3)
 
-    return F.when(text.rlike("[0-9]"), _walk(text, _TOKEN, none, out)).otherwise(none)
+        def told(left: Column) -> Column:
+            pattern = F.regexp_replace(F.lower(F.concat_ws(" ", left)), "[0-9]+", "0")
+            one = F.array(F.struct(begin.cast("long").alias("s"), end.cast("long").alias("e"), F.xxhash64(said).alias("value"), F.xxhash64(pattern).alias("pattern"), seed.alias("seed"), long.alias("long"))).cast(kind)
+            return F.struct(F.array(F.get(left, F.lit(1)), hit).alias("last"), F.when(~inside, F.concat(acc["all"], one)).otherwise(acc["all"]).alias("all"))
+
+        return F.get(F.transform(F.array(words), told), F.lit(0))
+
+    return F.when(text.rlike("[0-9]"), _walk(text, _TOKEN, init, out)["all"]).otherwise(none)
 
 
 def learned_patterns(tokens: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """pattern, conf: scores of the bipartite graph of tokens(value, pattern, seed) after some rounds."""
-    edges = stash(tokens.groupBy("pattern", "value").agg(F.max("seed").alias("here")), "edges")
+    """pattern, conf: scores of the bipartite graph of tokens(value, pattern, seed, long) after some rounds."""
+    edges = stash(tokens.groupBy("pattern", "value").agg(F.max("seed").alias("here"), F.max("long").alias("long")), "edges")
     seeds = edges.groupBy("value").agg(F.max("here").alias("seed"))
-    edges = edges.join(seeds, "value").select("pattern", "value", "seed")
+    edges = edges.join(seeds, "value").select("pattern", "value", "seed", "long")
     scores = None
     for _ in range(rounds):
         held = edges.withColumn("score", F.col("seed").cast("double"))
         if scores is not None:
-            held = edges.join(scores, "value", "left").withColumn("seed", F.col("seed") | F.coalesce("sure", F.lit(False)))
+            held = edges.join(scores, "value", "left").withColumn("seed", F.col("seed") | (F.col("long") & F.coalesce("sure", F.lit(False))))
             held = held.withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
         conf = held.groupBy("pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds"), (F.sum("score") / F.count("*")).alias("conf")).where((F.col("seeds") >= MIN_SEEDS) & (F.col("conf") > 0.5))
         conf = stash(conf.select("pattern", "conf"), "patterns")
@@ -151,7 +159,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     rows = stash(rows.withColumn("row", F.monotonically_increasing_id()), "spans")
     tokens = rows.select("row", F.explode("tokens").alias("t")).select("row", "t.*")
     sure = learned_patterns(tokens).where(F.col("conf") >= MIN_CONFIDENCE).select("pattern")
-    new = tokens.where("free and not seed").join(sure, "pattern", "left_semi").groupBy("row").agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "s", "e")).alias("more"))
+    new = tokens.where("not seed").join(sure, "pattern", "left_semi").groupBy("row").agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "s", "e")).alias("more"))
     out = rows.select("row", "doc_id", "text_key", "base").join(new, "row", "left")
     names = F.array(*map(F.lit, KINDS))
 

@@ -44,4 +44,12 @@ def test_discoveries_are_seeds_of_further_patterns(spark):
     texts = [f"please write to mail{i}@x.org today" for i in range(40)] + [f"please write to key-10{i}-ab today" for i in range(4)]
     texts += [f"the secret code key-10{i}-ab ends" for i in range(4)]
     got = idents(spark, texts)
-    assert got[40:48] == [[f"key-10{i}-ab"] for i in range(4)] * 2
\ No newline at end of file
+    assert got[40:48] == [[f"key-10{i}-ab"] for i in range(4)] * 2
+
+
+def test_sure_patterns_reach_every_digit_token(spark):
+    texts = [f"my contact: mail{i}@x.org today" for i in range(60)] + ["my contact: 123-45-6789 today", "my contact: 987654321 today", "my contact: 77 today"]
+    texts += [f"row 5 mail{i}@x.org" for i in range(60)] + ["row 8 555-01-77", f"mail: {' ' * 100}a@b.org"]
+    texts += [f"u{i}@x.org starts here" for i in range(60)] + ["4455-66 starts here"]
+    got = idents(spark, texts)
+    assert got[60:63] == [["123-45-6789"], ["987654321"], ["77"]] and got[123] == ["555-01-77"] and got[-1] == ["4455-66"]
\ No newline at end of file
