@@ -17,8 +17,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines of many sites; a document left without words by that goes."""
-    out = line_dedup.drop_spread_lines(docs)
+    """Removes lines of many sites from all documents but those that consist of such lines, which are copies."""
+    out = line_dedup.drop_spread_lines(docs, whole_share=1.0)
     return out.where((F.col("n_removed") == 0) | (F.trim("text") != "")).select(*docs.columns)
 
 

@@ -52,4 +52,11 @@ def test_sure_patterns_reach_every_digit_token(spark):
     texts += [f"row 5 mail{i}@x.org" for i in range(60)] + ["row 8 555-01-77", f"mail: {' ' * 100}a@b.org"]
     texts += [f"u{i}@x.org starts here" for i in range(60)] + ["4455-66 starts here"]
     got = idents(spark, texts)
-    assert got[60:63] == [["123-45-6789"], ["987654321"], ["77"]] and got[123] == ["555-01-77"] and got[-1] == ["4455-66"]
\ No newline at end of file
+    assert got[60:63] == [["123-45-6789"], ["987654321"], ["77"]] and got[123] == ["555-01-77"] and got[-1] == ["4455-66"]
+
+
+def test_stage_removes_spread_lines_from_all_but_copies(spark):
+    spread = "a licence line that many sites hold in full"
+    texts = [f"{spread}\nown words {i}" for i in range(12)] + [f"{spread}\n{spread}" for _ in range(12)]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, rows_of(spark, texts, [f"s{i % 12}" for i in range(24)]), "").collect()}
+    assert got == {i: f"own words {i}" if i < 12 else t for i, t in enumerate(texts)}
