@@ -6,9 +6,10 @@ by the words of their class, id or role are passed over. The root-to-leaf path
 of block-level tags of every other block collects text length, punctuation,
 link text and nodes; length and punctuation per node of its path give each block
 two ratios, which are smoothed along the page, scaled, and fused. Blocks above
-the threshold (a share of the fused mean) are content nodes. The innermost
-element that holds nearly all of their text is the article; all of its blocks
-are returned but those of paths that consist mostly of links.
+the threshold (a share of the fused mean) are content nodes. The article is the
+innermost element that holds all of them, or the innermost article or main element
+around that; all of its blocks are returned but those of paths that consist mostly
+of links.
 
 A null or empty page has an empty text, so has a page without text; unclosed
 tags, comments and quotes are closed by the page's end. Repeated rows get equal
@@ -31,7 +32,6 @@ from .common import small_batches, table, tidied
 
 SMOOTH = np.array([0.06, 0.24, 0.4, 0.24, 0.06])
 THRESHOLD = 0.4
-HELD = 0.8
 LINKS = 0.6
 
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var nobr blink".split())
@@ -55,10 +55,10 @@ _PUNCT = re.compile(r"[.,;:!?…。，、！？]")
 
 
 class _Block:
-    __slots__ = ("links", "path", "text", "trail")
+    __slots__ = ("links", "mains", "path", "text", "trail")
 
-    def __init__(self, path: str, trail: tuple[int, ...], text: str, links: int):
-        self.path, self.trail, self.text, self.links = path, trail, text, links
+    def __init__(self, path: str, trail: tuple[int, ...], mains: tuple[int, ...], text: str, links: int):
+        self.path, self.trail, self.mains, self.text, self.links = path, trail, mains, text, links
 
 
 def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
@@ -80,7 +80,7 @@ def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
 
 
 def blocks(page: str) -> list[_Block]:
-    """Blocks outside boilerplate, in page order. Elements are numbered as they open; a trail lists those around a block."""
+    """Blocks outside boilerplate, in page order. Elements are numbered as they open; a trail lists those around a block, mains the article and main elements among them."""
     out: list[_Block] = []
     stack: list[tuple[str, bool, int, str]] = []  # tag, dropped, number, path
     parts: list[str] = []
@@ -92,7 +92,7 @@ def blocks(page: str) -> list[_Block]:
             text = " ".join("".join(parts).split())
             if text:
                 block = next((x for x in reversed(stack) if x[0] not in _INLINE), ("", False, 0, ""))
-                out.append(_Block(block[3], tuple(x[2] for x in stack if x[0] not in _INLINE), text, min(links, len(text))))
+                out.append(_Block(block[3], tuple(x[2] for x in stack if x[0] not in _INLINE), tuple(x[2] for x in stack if x[0] in ("article", "main")), text, min(links, len(text))))
             parts.clear()
         links = 0
 
@@ -181,16 +181,13 @@ def main_text(page: str | None) -> str:
     chosen = (fused >= THRESHOLD * fused.mean()) & (link_share[of] <= LINKS)
     if not chosen.any():
         chosen = link_share[of] <= LINKS
-    weight = np.where(chosen, size, 0)
-    held: dict[int, float] = {}
-    for b, w in zip(found, weight, strict=True):
-        for e in b.trail:
-            held[e] = held.get(e, 0) + w
-    whole = weight.sum()
-    # Numbers grow inwards; of the elements that hold enough the last opened is innermost. Paragraphs themselves don't count.
+    inner = [b for b, c in zip(found, chosen, strict=True) if c]
+    # Numbers grow inwards; of the elements around all content nodes the last opened is innermost. Paragraphs themselves don't count.
     leaf = {b.trail[-1] for b in found if b.trail}
-    outer = [e for e, w in held.items() if w >= HELD * whole and e not in leaf]
-    article = max(outer, default=0)
+    around = set.intersection(*(set(b.trail) for b in inner)) - leaf if inner else set()
+    article = max(around, default=0)
+    if article:
+        article = max((e for e in inner[0].mains if e <= article), default=article)
     keep = [b.text for b in found if (not article or article in b.trail) and link_share[names[b.path]] <= LINKS]
     return "\n\n".join(keep)
 

@@ -55,6 +55,14 @@ def test_sure_patterns_reach_every_digit_token(spark):
     assert got[60:63] == [["123-45-6789"], ["987654321"], ["77"]] and got[123] == ["555-01-77"] and got[-1] == ["4455-66"]
 
 
+def test_all_content_nodes_of_a_page_stay():
+    long, some = ("A sentence of the text, with commas, and a full stop. " * n for n in (40, 6))
+    body = "".join(f"<p>{long}{i}</p>" for i in range(4))
+    for whole in (f"<article><h1>Title</h1><div class=intro><p>{some}</p></div><div class=body>{body}</div></article>", f"<div><h1>Title</h1><section><p>{some}</p><p>{some}</p></section><section>{body}</section></div>"):
+        got = html.main_text(f"<html><body><nav><a href=/>Home</a></nav>{whole}<footer>foot</footer></body></html>")
+        assert got.startswith("Title\n\nA sentence") and got.count("commas") == (166 if "article" in whole else 172) and "foot" not in got
+
+
 def test_stage_removes_spread_lines_from_all_but_copies(spark):
     spread = "a licence line that many sites hold in full"
     texts = [f"{spread}\nown words {i}" for i in range(12)] + [f"{spread}\n{spread}" for _ in range(12)]
