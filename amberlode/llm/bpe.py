@@ -12,9 +12,10 @@ The same fold in Spark's higher-order functions over the same table as a literal
 is encode_words. It gives the same ids but takes about 150 microseconds a word,
 so the query folds in numpy (see README for figures).
 
-Words are kept by number until there are KEEP, then numbering starts anew. The
-fold's work grows with the square of a word's bytes; words of over LONGEST bytes
-are encoded by the tiktoken library instead, to the same ids.
+Words are kept by number until there are KEEP, then numbering starts anew. The side
+by side fold looks at every pair of a word in every round; words of over LONGEST
+bytes take the same merges in the same order from a heap of ranked pairs, so that
+their work stays near linear.
 
 Null texts count as empty: no ids, digests of the empty string. Special tokens in
 a text are ordinary text. Repeated rows get equal answers, texts of any length are
@@ -25,17 +26,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts, tidied
+from .common import documents, texts, tidied
 
 KEEP = 300_000
 LONGEST = 256
@@ -139,12 +140,42 @@ def fold_words(words: list[bytes], byte_id: np.ndarray, slots: np.ndarray) -> li
     return out
 
 
+def merge_word(word: bytes, byte_id: np.ndarray, slots: np.ndarray) -> list[int]:
+    """Token ids of one word: the lowest rank, leftmost first, comes off a heap; neighbours are linked by place."""
+    sym = byte_id[np.frombuffer(word, np.uint8)].tolist()
+    n = len(sym)
+    before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
+
+    def rank(a: int, b: int) -> int:
+        key = a << 17 | b
+        for p in PRIMES:
+            entry = int(slots[key % p])
+            if entry >> 17 == key:
+                return entry & NO_RANK
+        return NO_RANK
+
+    heap = [(r, i, sym[i], sym[i + 1]) for i in range(n - 1) if (r := rank(sym[i], sym[i + 1])) < NO_RANK]
+    heapq.heapify(heap)
+    while heap:
+        r, i, a, b = heapq.heappop(heap)
+        j = after[i]
+        if not alive[i] or sym[i] != a or j >= n or sym[j] != b:
+            continue  # one of the pair has been merged since
+        sym[i], alive[j], after[i] = r, False, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+            if (x := rank(r, sym[after[i]])) < NO_RANK:
+                heapq.heappush(heap, (x, i, r, sym[after[i]]))
+        if before[i] >= 0 and (x := rank(sym[before[i]], r)) < NO_RANK:
+            heapq.heappush(heap, (x, before[i], sym[before[i]], r))
+    return [x for x, live in zip(sym, alive, strict=True) if live]
+
+
 class Words:
     """Numbered distinct words with their ids as text, as bytes and by count; streams of texts as word numbers."""
 
     def __init__(self, ranks: dict[bytes, int], slots: np.ndarray, pattern: str):
         self.find = regex.compile(pattern).findall
-        self.library = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.slots, self.pieces = slots, {i: b for b, i in ranks.items()}
         self.said = {i: str(i) for i in self.pieces}
@@ -199,7 +230,7 @@ class Words:
         raw = [w.encode("utf-8", "surrogatepass") for w in self.fresh]
         short = fold_words([w if len(w) <= LONGEST else b"" for w in raw], self.byte_id, self.slots)
         for w, got in zip(raw, short, strict=True):
-            ids = got or self.library._core_bpe.encode_single_piece(w)
+            ids = got or merge_word(w, self.byte_id, self.slots)
             self.texts.append(" ".join([self.said[i] for i in ids]))
             self.raws.append(b"".join([self.pieces[i] for i in ids]))
             self.sizes.append(len(ids))
@@ -246,7 +277,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFra
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encode_and_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 QUERIES = {"op10_byte_bpe": op10}

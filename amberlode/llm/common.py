@@ -1,4 +1,4 @@
-"""Helpers shared by the corpus operators: table access, stored intermediate tables, connected components."""
+"""Helpers shared by the corpus operators: table access, stored intermediate tables, joins on hot keys, connected components."""
 
 from __future__ import annotations
 
@@ -13,7 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+HEAVY = 1000
+SALTS = 64
+
 _LOCAL: list[str] = []
+_STASHED: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send rows to Python workers in batches of at most this many: texts are long, and a worker holds a batch several times over."""
+    """Send rows to Python workers in batches of at most this many: texts are long, and a worker holds a batch several times over.
+
+    This is a setting of the whole session, so only the queries and the stages of the
+    pipeline make it. Operators leave the session as it is.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
@@ -47,14 +55,20 @@ def tidied(run: Callable) -> Callable:
 
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text of every row; a null text becomes empty. Other columns are left behind."""
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return table(spark, sf_dir, "documents")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One is made only where the session names none."""
+    """The folder that driver and executors share. On one machine one is made where the session names none; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="amberlode-"))
         at = _LOCAL[0]
@@ -73,24 +87,54 @@ def _remove(spark: SparkSession, path: str) -> None:
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and lost executors cost nothing.
 
-    The table is deleted when the driver's process ends.
+    The table is deleted by release, or when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/amberlode-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STASHED.append(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete every table stashed so far. Results that still have to be read are lost with them, so call it when they are written."""
+    gone = len(_STASHED)
+    while _STASHED:
+        _remove(spark, _STASHED.pop())
+    return gone
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a stashed table that nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         _remove(df.sparkSession, path)
 
 
+def heavy_keys(rows: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """The keys of the HEAVY largest counts n, with n: no other key holds more than 1 / HEAVY of what is counted."""
+    return rows.select(*keys, F.col(n).alias("n_rows")).orderBy(F.desc("n_rows"), *keys).limit(HEAVY)
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """left joined to right, whose keys are unique and whose column n says how many rows of left have them.
+
+    Rows of the HEAVY largest keys are dealt by the hash of the whole row over SALTS
+    copies of their partner, so that a key with a third of all rows is spread over many
+    tasks. left should have a column that tells its rows apart. What is broadcast
+    has HEAVY rows at most. how: inner or left. Column n is left out.
+    """
+    heavy = F.broadcast(heavy_keys(right, keys, n).select(*keys, F.lit(True).alias("heavy__")))
+    dealt = F.when(F.col("heavy__"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(SALTS)).cast("int")).otherwise(0)
+    spread = F.when(F.col("heavy__"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    a = left.join(heavy, keys, "left").withColumn("salt__", dealt).drop("heavy__")
+    b = right.drop(n).join(heavy, keys, "left").withColumn("salt__", F.explode(spread)).drop("heavy__")
+    return a.join(b, [*keys, "salt__"], how).drop("salt__")
+
+
 def crc_mod(of: Column, by: int) -> Column:
-    """crc32 of the decimal text of an id, modulo by."""
-    return F.crc32(of.cast("string").cast("binary")) % F.lit(by)
+    """crc32 of the decimal text of an id, modulo by; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(of.cast("string"), F.lit("")).cast("binary")) % F.lit(by)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

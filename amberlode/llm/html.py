@@ -1,43 +1,50 @@
 """Operator 1: main text of web pages by tag-path ratios.
 
-A page is read once into blocks, runs of text between block-level tags. Parts
-that are boilerplate by their element (navigation, forms, scripts and so on) or
-by the words of their class, id or role are passed over. The root-to-leaf path
-of block-level tags of every other block collects text length, punctuation,
-link text and nodes; length and punctuation per node of its path give each block
-two ratios, which are smoothed along the page, scaled, and fused. Blocks above
-the threshold (a share of the fused mean) are content nodes. The article is the
-innermost element that holds all of them, or the innermost article or main element
-around that; all of its blocks are returned but those of paths that consist mostly
-of links.
-
-A null or empty page has an empty text, so has a page without text; unclosed
-tags, comments and quotes are closed by the page's end. Repeated rows get equal
+A page is read once into blocks, runs of text between block-level tags. Elements
+that never hold an article (navigation, header and footer of the page, asides,
+controls, scripts and the like) are passed over. Every other block belongs to the
+root-to-leaf path of its block-level tags; an element whose class, id or role says
+boilerplate, or a form, carries a mark in the path.
+
+Each path collects text length, punctuation, link text and nodes. The logarithms of
+length and punctuation per node are smoothed along the page, averaged again by path,
+scaled, and fused. A path is then mixed half and half with its support: the better
+of the fused ratios of its container's own blocks and of the article or main
+elements around it. Marked paths count a quarter, those outside an article that
+holds most of the text a half, and all by the share of their text that is no link.
+Paths whose result reaches THRESHOLD of the page's best are content, and just
+their blocks are returned.
+
+A null or empty page has an empty text, so has a page without text; unclosed tags
+and comments are closed by the page's end, a quote that is never closed is an
+ordinary character. Of equally good paths all are content. Repeated rows get equal
 answers, pages of any length are read whole, an empty table gives an empty
-result, other columns are ignored.
+result, other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import small_batches, table, tidied
 
-SMOOTH = np.array([0.06, 0.24, 0.4, 0.24, 0.06])
+SMOOTH = (0.06, 0.24, 0.4, 0.24, 0.06)
 THRESHOLD = 0.4
-LINKS = 0.6
+MARKED = 0.25
+OUTSIDE = 0.5
+BARE = 0.3  # what a node without punctuation counts
 
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var nobr blink".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noframes xmp iframe noembed".split())
-_DROP = frozenset("head script style noscript template nav footer aside form button select option textarea iframe object svg canvas dialog menu audio video map noframes applet title".split())
+_DROP = frozenset("head script style noscript template nav footer aside button select option textarea iframe object svg canvas dialog menu audio video map noframes applet title".split())
 _KEEP = frozenset("html body article main".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table tbody thead tfoot"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "p": ("p", "td th li div article section body")}
@@ -48,51 +55,56 @@ _WORDS = frozenset(
     "pagination pager skip login search copyright tagcloud hidden".split()
 )
 _ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split())
-_TAG = re.compile(r"""<!--(?:.*?(?:-->|\Z))|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# Attributes by the rules of HTML: a name, then perhaps a value in quotes or up to white space; other quotes are part of a name or value.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]++)"""
+_TAG = re.compile(rf"""<!--(?:.*?(?:--!?>|\Z))|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?)*+)(?:>|\Z)""", re.S)
+_ATTR = re.compile(rf"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+({_VALUE}))?""", re.S)
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _PUNCT = re.compile(r"[.,;:!?…。，、！？]")
 
 
-class _Block:
-    __slots__ = ("links", "mains", "path", "text", "trail")
+class Block:
+    """Text of one node: its path, the paths of the article and main elements around it, and how much of it is link text."""
 
-    def __init__(self, path: str, trail: tuple[int, ...], mains: tuple[int, ...], text: str, links: int):
-        self.path, self.trail, self.mains, self.text, self.links = path, trail, mains, text, links
+    __slots__ = ("links", "mains", "path", "text")
 
+    def __init__(self, path: str, mains: tuple[str, ...], text: str, links: int):
+        self.path, self.mains, self.text, self.links = path, mains, text, links
 
-def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
+
+def _says(tag: str, attrs: str, inside: bool) -> str:
+    """drop, mark or nothing, by an element's name and attributes."""
     if tag in _DROP or (tag == "header" and not inside):
-        return True
+        return "drop"
+    mark = "mark" if tag == "form" else ""
     if not attrs or tag in _KEEP:
-        return False
+        return mark
     for name, value in _ATTR.findall(attrs):
-        name, value = name.lower(), html.unescape(value.strip("\"'"))
+        name, value = name.lower(), html.unescape(value[1:-1] if value[:1] in ("'", '"') else value)
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
-            return True
+            return "drop"
         if name == "role" and _ROLES & set(value.lower().split()):
-            return True
+            mark = "mark"
         if name in ("class", "id"):
             words = {w.lower() for w in _SPLIT.split(value)}
             if words & _WORDS or ("header" in words and not inside):
-                return True
-    return False
+                mark = "mark"
+    return mark
 
 
-def blocks(page: str) -> list[_Block]:
-    """Blocks outside boilerplate, in page order. Elements are numbered as they open; a trail lists those around a block, mains the article and main elements among them."""
-    out: list[_Block] = []
-    stack: list[tuple[str, bool, int, str]] = []  # tag, dropped, number, path
+def blocks(page: str) -> list[Block]:
+    """Blocks outside dropped elements, in page order."""
+    out: list[Block] = []
+    stack: list[tuple[str, bool, str]] = []  # tag, dropped, path
     parts: list[str] = []
-    links = number = inside = 0
+    links = inside = 0
 
     def flush() -> None:
         nonlocal links
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                block = next((x for x in reversed(stack) if x[0] not in _INLINE), ("", False, 0, ""))
-                out.append(_Block(block[3], tuple(x[2] for x in stack if x[0] not in _INLINE), tuple(x[2] for x in stack if x[0] in ("article", "main")), text, min(links, len(text))))
+                out.append(Block(stack[-1][2] if stack else "", tuple(x[2] for x in stack if x[0] in ("article", "main")), text, min(links, len(text))))
             parts.clear()
         links = 0
 
@@ -141,7 +153,8 @@ def blocks(page: str) -> list[_Block]:
                 break
             if stack[i][0] in within:
                 break
-        dropped = bool(stack and stack[-1][1]) or _boilerplate(tag, m[3], inside > 0)
+        said = _says(tag, m[3], inside > 0)
+        dropped = bool(stack and stack[-1][1]) or said == "drop"
         if tag not in _INLINE:
             flush()
         if tag in _RAW:
@@ -150,52 +163,70 @@ def blocks(page: str) -> list[_Block]:
             continue
         if m[3].endswith("/") and tag in ("path", "circle", "rect", "use"):
             continue
-        number += 1
-        above = stack[-1][3] if stack else ""
-        stack.append((tag, dropped, number, above if tag in _INLINE else f"{above}/{tag}"))
+        above = stack[-1][2] if stack else ""
+        own = f"/{tag}" if tag not in _INLINE else ""
+        stack.append((tag, dropped, f"{above}{own}{'!' if said == 'mark' else ''}"))
         inside += tag in ("article", "main")
     say(page[at:])
     flush()
     return out
 
 
+def _ratio(found: list[Block], length: dict[str, float], marks: dict[str, float], key) -> dict[str, float]:
+    """Fused ratio of each group of blocks by key: the mean of the smoothed ratios of its blocks, scaled by the page's best."""
+    sums: dict[str, list[float]] = {}
+    for i, b in enumerate(found):
+        for name in key(b):
+            x = sums.setdefault(name, [0.0, 0.0, 0.0])
+            x[0] += length[i]
+            x[1] += marks[i]
+            x[2] += 1
+    best, most = max(length.values()), max(marks.values())
+    return {k: math.sqrt((a / n / best if best else 0.0) * (BARE + (1 - BARE) * (c / n / most if most else 0.0))) for k, (a, c, n) in sums.items()}
+
+
+def _smoothed(line: list[float]) -> dict[int, float]:
+    half = len(SMOOTH) // 2
+    return {i: sum(w * line[min(max(i + k - half, 0), len(line) - 1)] for k, w in enumerate(SMOOTH)) for i in range(len(line))}
+
+
+def path_scores(found: list[Block]) -> dict[str, float]:
+    """Score of each path of a page."""
+    size, marks, link, nodes = Counter(), Counter(), Counter(), Counter()
+    for b in found:
+        size[b.path] += len(b.text)
+        marks[b.path] += len(_PUNCT.findall(b.text))
+        link[b.path] += b.links
+        nodes[b.path] += 1
+    length = _smoothed([math.log1p(size[b.path] / nodes[b.path]) for b in found])
+    punct = _smoothed([math.log1p(marks[b.path] / nodes[b.path]) for b in found])
+    own = _ratio(found, length, punct, lambda b: (b.path,))
+    container = _ratio(found, length, punct, lambda b: (b.path.rpartition("/")[0],))
+    around = _ratio(found, length, punct, lambda b: b.mains if "!" not in b.path else ())
+    mains = {b.path: b.mains for b in found}
+    held = sum(len(b.text) for b in found if b.mains and "!" not in b.path)
+    landmark = 2 * held >= sum(len(b.text) for b in found if "!" not in b.path) > 0
+    out = {}
+    for p in size:
+        support = max([container[p.rpartition("/")[0]], *(around.get(m, 0.0) for m in mains[p])])
+        score = (own[p] + support) / 2 * (1 - link[p] / max(1, size[p]))
+        score *= MARKED if "!" in p else 1.0
+        out[p] = score * (OUTSIDE if landmark and not mains[p] else 1.0)
+    return out
+
+
 def main_text(page: str | None) -> str:
-    if not page:
-        return ""
-    found = blocks(page)
+    found = blocks(page) if page else []
     if not found:
         return ""
-    names = {p: i for i, p in enumerate(dict.fromkeys(b.path for b in found))}
-    of = np.array([names[b.path] for b in found])
-    size = np.array([len(b.text) for b in found], float)
-    punct = np.array([len(_PUNCT.findall(b.text)) for b in found], float)
-    link = np.array([b.links for b in found], float)
-    nodes = np.bincount(of)
-    text_ratio, mark_ratio = (np.bincount(of, x) / nodes for x in (size, punct))
-    link_share = np.bincount(of, link) / np.maximum(1, np.bincount(of, size))
-    fused = np.ones(len(found))
-    for ratio in (text_ratio, mark_ratio + 0.1):
-        line = np.convolve(np.pad(ratio[of], 2, mode="edge"), SMOOTH, mode="valid")
-        fused *= line / line.max()
-    fused = np.sqrt(fused)
-    chosen = (fused >= THRESHOLD * fused.mean()) & (link_share[of] <= LINKS)
-    if not chosen.any():
-        chosen = link_share[of] <= LINKS
-    inner = [b for b, c in zip(found, chosen, strict=True) if c]
-    # Numbers grow inwards; of the elements around all content nodes the last opened is innermost. Paragraphs themselves don't count.
-    leaf = {b.trail[-1] for b in found if b.trail}
-    around = set.intersection(*(set(b.trail) for b in inner)) - leaf if inner else set()
-    article = max(around, default=0)
-    if article:
-        article = max((e for e in inner[0].mains if e <= article), default=article)
-    keep = [b.text for b in found if (not article or article in b.trail) and link_share[names[b.path]] <= LINKS]
-    return "\n\n".join(keep)
+    score = path_scores(found)
+    least = THRESHOLD * max(score.values())
+    return "\n\n".join(b.text for b in found if score[b.path] >= least)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages(page_id, url, html)."""
-    small_batches(pages.sparkSession)
-    given = pages.select("page_id", "url", F.col("html").alias("__html"))
+    given = pages.select("page_id", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,6 +237,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return extract(table(spark, sf_dir, "pages"))
 
 

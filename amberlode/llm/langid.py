@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import crc_mod, small_batches, stash, table, tidied
+from .common import crc_mod, documents, stash, tidied
 
 MIN_SHARE = 2e-5
 KEEP = 0.3
@@ -132,7 +133,6 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
             keys, counts = done[name]
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys)), pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
 
-    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     grams = rows.mapInArrow(tidied(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams = stash(grams, "grams")
@@ -151,20 +151,19 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
 
 
 def predict(docs: DataFrame, filters: Filters, keep: list[Column | str], text: str = "text") -> DataFrame:
-    """The columns in keep with lang_pred and score."""
-    small_batches(docs.sparkSession)
+    """The columns in keep with lang_pred and score. keep has neither of these names; pack a whole row into a struct to keep it."""
     held = docs.sparkSession.sparkContext.broadcast(filters)
-    given = docs.select(*keep, F.col(text).alias("__text"))
-    fields = [f for f in given.schema.fields if f.name != "__text"]
+    kept = docs.select(*keep)
+    names = kept.columns
+    given = docs.select(*keep, F.col(text)).toDF(*[f"c{i}" for i in range(len(names))], "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said = [held.value.decide(t) for t in batch.column("__text").to_pylist()]
-            columns = [batch.column(f.name) for f in fields]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], names=[*[f.name for f in fields], "lang_pred", "score"])
+            said = [held.value.decide(t) for t in batch.column(len(names)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], names=[*[f"c{i}" for i in range(len(names))], "lang_pred", "score"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string", "score double"])
-    return given.mapInArrow(tidied(run), schema)
+    schema = T.StructType([*[T.StructField(f"c{i}", f.dataType) for i, f in enumerate(kept.schema.fields)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return given.mapInArrow(tidied(run), schema).toDF(*names, "lang_pred", "score")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -174,7 +173,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(table(spark, sf_dir, "documents"))
+    return identify(documents(spark, sf_dir))
 
 
 QUERIES = {"op8_language_filters": op8}

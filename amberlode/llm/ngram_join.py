@@ -31,10 +31,10 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stash, table, texts, tidied
+from .common import components, documents, salted_join, stash, texts, tidied
 
 SKETCH_BITS = 22
 SLICES = 64
@@ -128,8 +128,8 @@ def _least(size: int, percent: int) -> int:
 
 
 def prefixes(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
-    """doc_id, size, nid (hash of the set), gid (hash of prefix and size), prefix (shingles in global order)."""
-    arrow = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("nid", pa.int64()), ("gid", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    """doc_id, text_key, size, nid (hash of the set), gid (hash of prefix and size), prefix (shingles in global order)."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("size", pa.int64()), ("nid", pa.int64()), ("gid", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, words = levels.value, _Words()
@@ -153,9 +153,9 @@ def prefixes(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
             flat = np.concatenate(heads) if heads else np.empty(0, np.int64)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), signed(nids), signed(gids), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)).cast(pa.list_(pa.int64()))], schema=arrow)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), signed(nids), signed(gids), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)).cast(pa.list_(pa.int64()))], schema=arrow)
 
-    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, size long, nid long, gid long, prefix array<long>")
+    return docs.select("doc_id", "text", text_key(F.col("text"))).mapInArrow(tidied(run), "doc_id long, text_key long, size long, nid long, gid long, prefix array<long>")
 
 
 def _sets(docs: DataFrame, seen, n: int) -> DataFrame:
@@ -175,7 +175,7 @@ def _sets(docs: DataFrame, seen, n: int) -> DataFrame:
     return docs.select("text", _bit().alias("bit")).mapInArrow(tidied(run), "nid long, members binary")
 
 
-def _bit():
+def _bit() -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(1 << SEEN_BITS))
 
 
@@ -216,8 +216,22 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, perce
     return both.select("a", "b", "ma", "mb").mapInArrow(tidied(run), "a long, b long")
 
 
+def text_key(text: Column) -> Column:
+    """Hash of a text as link_rows names it; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def link_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
+    rows = link_rows(docs, n, percent)
+    full = rows.where("n_shingles > 0")
+    least = stash(full.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "least")
+    out = salted_join(full, least, ["component"], "n").select("doc_id", "n_shingles", "component_id")
+    return out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def link_rows(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, text_key, n_shingles, component (a number shared by linked rows, null without shingles) for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     docs = texts(docs)
     levels = spark.sparkContext.broadcast(order_levels(docs, n))
@@ -289,15 +303,15 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     more = _verified(docs, nodes, late, n, percent)
     roots = components(linked.unionByName(more))
 
-    placed = heads.select("doc_id", "size", "nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("doc_id", "size", F.coalesce("root", "nid").alias("root"))
-    full = placed.where("size > 0")
-    least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = full.join(least, "root").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
-    return out.unionByName(placed.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    named = nodes.select("nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("nid", F.coalesce("root", "nid").alias("component"))
+    copies = filled.groupBy("nid").agg(F.count("*").alias("n"))
+    full = salted_join(filled.select("doc_id", "text_key", "size", "nid"), named.join(copies, "nid"), ["nid"], "n")
+    full = full.select("doc_id", "text_key", F.col("size").alias("n_shingles"), "component")
+    return full.unionByName(heads.where("size = 0").select("doc_id", "text_key", F.col("size").alias("n_shingles"), F.lit(None).cast("long").alias("component")))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_documents(table(spark, sf_dir, "documents"))
+    return link_documents(documents(spark, sf_dir))
 
 
 QUERIES = {"op2_ngram_jaccard_join": op2}

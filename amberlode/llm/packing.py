@@ -5,21 +5,28 @@ are cut off first; what is left of a document goes to the tier of the smallest
 window that holds it. Tiers are packed from the longest down: each window takes
 the longest item of its tier, fills its gap with the longest whole items of the
 same or shorter tiers that fit, and closes with a piece cut from the longest
-item left. So every window is full; only what remains at the end of a partition
-is cut into windows of falling powers of two, which need no padding either.
-Windows of one tier fill a step group until it holds STEP tokens, so that all
-full groups have the same number.
+item left. So every window is full. What remains at the end of a partition is cut
+into full windows of falling tiers; less than the shortest tier makes one last
+window of its own length, the only one of a partition that may need padding.
+
+Windows of one tier fill a step group until it holds STEP tokens exactly. The
+groups still open at the end of a partition are dealt anew: the windows of all
+tiers go, longest first, to the least filled of as few groups as hold them, so
+that those differ by one window at most.
 
 The work is done in one pass over the input partitions without a shuffle, a
 bounded number of tokens at a time; the items that don't fill a window move on
 to the next portion. Sequence ids hold the partition and a counter and repeat on
-a retry. Null texts count as empty and keep their end id; repeated rows are
-packed row by row; a document of any length is cut; an empty table gives an empty
-result; other columns are ignored.
+a retry. Null texts count as empty and keep their end id; strings of special
+tokens in a text become those tokens, as the tokenizers library has it; repeated
+rows and ids are packed row by row, items of equal length last come first; a
+document of any length is cut; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +35,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, texts, tidied
+from .common import documents, texts, tidied
 from .tokens import Segments, encoding
 
 TIERS = (128, 256, 512, 1024)
@@ -54,8 +61,7 @@ class Packer:
         self.by: list[list[Item]] = [[] for _ in range(self.longest + 1)]
         self.mask = self.held = self.count = 0
         self.base = partition << 33
-        self.fill = dict.fromkeys(self.tiers, 0)
-        self.group = {}
+        self.open: dict[int, list[list[tuple]]] = {t: [] for t in self.tiers}
         self.groups = 0
         self.rows: list[tuple] = []
 
@@ -76,16 +82,22 @@ class Packer:
         return item
 
     def write(self, window: int, pieces: list[Item]) -> None:
-        if window not in self.group or self.fill[window] >= STEP:
-            self.group[window], self.fill[window] = self.base + self.groups, 0
-            self.groups += 1
-        seq, offset = self.base + self.count, 0
+        seq, offset, rows = self.base + self.count, 0, []
         self.count += 1
         for x in pieces:
             crc = zlib.crc32(x.ids[x.start : x.start + x.length].tobytes())
-            self.rows.append((x.doc_id, x.start, x.length, crc, len(x.ids), seq, offset, window, self.group[window]))
+            rows.append((x.doc_id, x.start, x.length, crc, len(x.ids), seq, offset, window))
             offset += x.length
-        self.fill[window] = self.fill.get(window, 0) + offset
+        tier = min(t for t in self.tiers if t >= window)
+        self.open[tier].append(rows)
+        if window == tier and len(self.open[tier]) * tier >= STEP:
+            self.close(self.open[tier])
+            self.open[tier] = []
+
+    def close(self, windows: list[list[tuple]]) -> None:
+        """One step group of these windows."""
+        self.rows += [(*row, self.base + self.groups) for rows in windows for row in rows]
+        self.groups += 1
 
     def add(self, doc_id: int, ids: np.ndarray) -> None:
         whole = len(ids) // self.longest * self.longest
@@ -117,7 +129,17 @@ class Packer:
     def finish(self) -> None:
         self.pack()
         while self.held:
-            self.window(min(self.longest, 1 << (self.held.bit_length() - 1)))
+            self.window(max((t for t in self.tiers if t <= self.held), default=self.held))
+        size = lambda rows: rows[0][7]
+        left = sorted((w for tier in self.tiers for w in self.open[tier]), key=size, reverse=True)
+        groups: list[list] = [[] for _ in range(-(-sum(map(size, left)) // STEP))]
+        fill = [(0, i) for i in range(len(groups))]
+        for w in left:
+            tokens, i = heapq.heappop(fill)
+            groups[i].append(w)
+            heapq.heappush(fill, (tokens + size(w), i))
+        for g in groups:
+            self.close(g)
 
     def drain(self) -> list[tuple]:
         rows, self.rows = self.rows, []
@@ -158,7 +180,7 @@ def public_tokenizer() -> tuple[str, str]:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), *public_tokenizer())
+    return pack_documents(documents(spark, sf_dir), *public_tokenizer())
 
 
 QUERIES = {"op7_multi_length_packing": op7}

@@ -5,7 +5,9 @@ from labelled rows (all of a bounded sample of LABELLED labels, picked by hash o
 the id): sequential covering grows a conjunction of thresholds for bad texts by
 information gain on two thirds of what is left, prunes it on the other third,
 and takes what it covers away, until no rule is right more often than
-MIN_PRECISION. The list becomes one ordered Spark conditional.
+MIN_PRECISION. Then rules that the others make needless are left out, the earliest
+first: those without which the list is right about as many labelled rows. The
+list becomes one ordered Spark conditional.
 
 Null texts and texts without words have all statistics 0 and fail the base rule.
 Null labels are ignored; without labels the list is empty and keeps what the base
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts, tidied
+from .common import documents, table, texts, tidied
 
 LABELLED = 6_000
 CUTS = 48
@@ -163,15 +165,32 @@ def decision_list(x: dict[str, np.ndarray], bad: np.ndarray, turn: np.ndarray) -
             break
         rules.append(rule)
         left &= ~covered
+    return _needed(rules, x, bad)
+
+
+def _needed(rules: list[Rule], x: dict[str, np.ndarray], bad: np.ndarray) -> list[Rule]:
+    """The list without the rules that it does as well without."""
+
+    def right(some: list[Rule]) -> int:
+        caught = np.zeros(len(bad), bool)
+        for r in some:
+            caught |= _covers(r, x, len(bad))
+        return int((caught == bad).sum())
+
+    for rule in list(rules):
+        fewer = [r for r in rules if r is not rule]
+        if right(fewer) >= right(rules):
+            rules = fewer
     return rules
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     picked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    few = F.broadcast(picked.select(F.col("doc_id").alias("__id"), "quality"))  # LABELLED rows at most
-    rows = docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("__id"))
-    quality = {r["__id"]: r["quality"] for r in picked.select(F.col("doc_id").alias("__id"), "quality").collect()}
-    seen = statistics(rows).distinct().toPandas().sort_values(["doc_id", "n_words", "word_chars"]).head(2 * LABELLED)
+    few = F.broadcast(picked.select("doc_id"))  # LABELLED rows at most
+    rows = docs.select("doc_id", "text").join(few, "doc_id", "left_semi")
+    quality = {r["doc_id"]: r["quality"] for r in picked.collect()}
+    one = statistics(rows).groupBy("doc_id").agg(F.min(F.struct(*_COUNTS)).alias("x")).select("doc_id", "x.*")  # LABELLED rows at most
+    seen = one.toPandas().sort_values("doc_id")
     if seen.empty:
         return []
     x = {k: np.divide(seen[a].to_numpy(float), seen[b].to_numpy(float), out=np.zeros(len(seen)), where=seen[b].to_numpy() > 0) for k, (a, b) in FEATURES.items()}
@@ -207,7 +226,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judge(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {"op3_decision_list": op3}

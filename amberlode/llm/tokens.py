@@ -3,7 +3,8 @@
 Between two characters that are not white space, a single blank always begins a
 new match of the pre-tokenizer. So a text is cut there, each distinct segment is
 encoded once, and the ids of a text are joined from the table. Where white
-space is of another kind, the whole text is encoded in one go.
+space is of another kind, or the text holds the string of a special token, the
+whole text is encoded in one go.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ def _byte_of() -> dict[str, int]:
 
 
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
-    """The vocabulary of a tokenizers file; special tokens in a text count as ordinary text."""
+    """The vocabulary of a tokenizers file with its special tokens."""
     with open(path, encoding="utf-8") as file:
         model = json.load(file)
-    special = {x["content"] for x in model.get("added_tokens", [])}
+    special = {x["content"]: x["id"] for x in model.get("added_tokens", [])}
     byte = _byte_of()
     ranks = {bytes(byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("segments", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("segments", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 class Segments(dict):
@@ -40,7 +41,7 @@ class Segments(dict):
 
     def __init__(self, enc: tiktoken.Encoding):
         super().__init__()
-        self.enc = enc
+        self.enc, self.special = enc, tuple(enc.special_tokens_set)
 
     def __missing__(self, part: str) -> bytes | None:
         if not part or part[0].isspace() or part[-1].isspace():
@@ -52,6 +53,8 @@ class Segments(dict):
         return value
 
     def ids(self, text: str) -> bytes:
+        if any(x in text for x in self.special):
+            return np.array(self.enc.encode(text, allowed_special="all"), "<u4").tobytes()
         head, *rest = text.split(" ")
         if rest and head and not head[-1].isspace():
             try:
