@@ -5,12 +5,3 @@ from . import attention_lm, bpe, html, langid, line_dedup, ngram_join, packing,
 MODULES = (html, ngram_join, quality, pii, line_dedup, attention_lm, packing, langid, topk, bpe)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in getattr(m, "ORACLES", {}).items()}
-
-
-def pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
-QUERIES["pipeline"] = pipeline
