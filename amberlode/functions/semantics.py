@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Extensions by media kind, spellings of one extension, junk names.
-IMAGE_EXT = ("jpg", "png", "heic", "gif", "tif", "webp", "bmp", "dng", "raw", "cr2", "nef", "arw")
-VIDEO_EXT = ("mov", "mp4", "m4v", "avi", "mkv", "3gp")
+#: Extensions by media kind, spellings of one extension, sources of weak dates.
+IMAGE_EXT = ("jpg", "jpeg", "png", "heic", "heif", "tif", "tiff", "gif", "webp", "bmp", "dng", "cr2", "cr3", "nef", "arw", "raf", "orf", "rw2")
+VIDEO_EXT = ("mov", "mp4", "m4v", "avi", "mkv", "3gp", "mts", "m2ts", "webm")
 SAME_EXT = {"jpeg": "jpg", "tiff": "tif", "heif": "heic"}
 WEAK_SOURCES = ("mtime", "filename", "unknown")
 DEGENERATE_BITS = (4, 60)
@@ -42,8 +42,8 @@ def canonical_path(hash_: Column, captured_at: Column, ext: Column) -> Column:
 
 
 def filename_date(name: Column) -> Column:
-    """Noon of the first year-month-day in a name; null if there is none or it isn't a date."""
-    pattern = r"((?:19|20)[0-9]{2})[-_.]?([0-9]{2})[-_.]?([0-9]{2})"
+    """Noon of the first year-month-day in a name, with a month and a day that a calendar has; null if there is none or it isn't a date."""
+    pattern = r"((?:19|20)[0-9]{2})[-_.]?(0[1-9]|1[0-2])[-_.]?(0[1-9]|[12][0-9]|3[01])"
     year, month, day = (F.regexp_extract(name, pattern, k) for k in (1, 2, 3))
     return F.when(year != "", F.try_make_timestamp_ntz(year.try_cast("int"), month.try_cast("int"), day.try_cast("int"), F.lit(12), F.lit(0), F.lit(0)))
 
@@ -112,3 +112,19 @@ def percent(done: Column, total: Column) -> Column:
 def stale_days(last: Column, now: Column) -> Column:
     """Whole days between two times."""
     return F.floor((F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(last.cast("timestamp"))) / 86400).cast("bigint")
+
+
+def days_since(at: Column, now: Column) -> Column:
+    """Days between two times with their fraction."""
+    return (F.unix_micros(now.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))) / 86_400_000_000.0
+
+
+def library_path(path: Column, prefix: str) -> Column:
+    """Path below a library's prefix; other paths stay whole."""
+    return F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 1 << 20)).otherwise(path)
+
+
+def marker(text: Column) -> Column:
+    """Identity marker (replica, uuid) of a storage; null if it can't be read or has no uuid."""
+    said = F.from_json(text, "replica string, uuid string", {"mode": "PERMISSIVE"})
+    return F.when(said["uuid"].isNotNull(), said)

@@ -26,11 +26,16 @@ def undated(asset: DataFrame) -> DataFrame:
 def browse(asset: DataFrame, year: str | None = None, month: int | None = None, kind: str | None = None, undated: bool = False, trashed: bool = False) -> DataFrame:
     """Filtered library; undated sets year and month aside."""
     keep = F.col("deleted_at").isNotNull() if trashed else S.live(F.col("deleted_at"))
+    at = F.col("captured_at")
     if undated:
-        keep &= F.col("captured_at").isNull()
-    else:
-        keep &= F.date_format("captured_at", "yyyy") == year if year else F.lit(True)
-        keep &= F.date_format("captured_at", "MM") == f"{month:02d}" if month else F.lit(True)
+        keep &= at.isNull()
+    elif year and month:
+        start = F.make_timestamp_ntz(F.lit(int(year)), F.lit(month), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+        keep &= (at >= start) & (at < start + F.expr("interval 1 month"))  # a range, which a scan can prune by
+    elif year:
+        keep &= (at >= F.lit(f"{int(year):04d}-01-01").cast("timestamp_ntz")) & (at < F.lit(f"{int(year) + 1:04d}-01-01").cast("timestamp_ntz"))
+    elif month:
+        keep &= F.month(at) == month
     return asset.where(keep & (F.col("media_kind") == kind) if kind else keep)
 
 

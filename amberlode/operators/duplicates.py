@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import semantics as S
+from ..sources.scratch import stored
 
 BANDS = 8
 BUCKET_MOST = 400
@@ -20,11 +21,11 @@ def text_grids(files: DataFrame, documents: DataFrame) -> DataFrame:
     texts = documents.join(firsts, "doc_id").select("hash", F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("token")).where("token <> ''")
     cell = F.conv(F.substring(F.md5(F.col("token").cast("binary")), 1, 4), 16, 10).cast("int") % CELLS
     counts = texts.groupBy("hash", cell.alias("cell")).agg(F.count("*").alias("n"))
-    return counts.groupBy("hash").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("grid"))
+    return counts.groupBy("hash").agg(*[F.coalesce(F.sum(F.when(F.col("cell") == c, F.col("n"))), F.lit(0)).alias(f"c{c}") for c in range(CELLS)]).select("hash", F.array(*[f"c{c}" for c in range(CELLS)]).alias("grid"))
 
 
 def hashes(grids: DataFrame) -> DataFrame:
-    bits = S.dhash_bits(lambda at: F.coalesce(F.try_element_at(F.col("grid"), at), F.lit(0)))
+    bits = S.dhash_bits(lambda at: F.get(F.col("grid"), at))
     return grids.select("hash", bits.alias("bits")).where(~S.degenerate(F.col("bits"))).select("hash", "bits", S.hash_hex(F.col("bits")).alias("phash"))
 
 
@@ -35,7 +36,7 @@ def bands(hashed: DataFrame) -> DataFrame:
 
 def pairs(hashed: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """a < b within the threshold that share a bucket of 2 to 400 members. The bound is the model's own and limits pairs a bucket."""
-    rows = bands(hashed)
+    rows = bands(stored(hashed, "hashed"))
     sizes = rows.groupBy("band", "part").agg(F.count("*").alias("n")).where(F.col("n").between(2, BUCKET_MOST)).drop("n")
     rows = rows.join(sizes, ["band", "part"])
     other = rows.select("band", "part", F.col("hash").alias("b"), F.col("bits").alias("bits_b"))
@@ -45,16 +46,13 @@ def pairs(hashed: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def groups(linked: DataFrame) -> DataFrame:
     """hash, root (smallest hash of its component), by passing the smallest label along edges and through labels."""
-    spark = linked.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    edges = linked.select("a", "b").union(linked.select("b", "a")).distinct().checkpoint()
-    label = edges.groupBy(F.col("a").alias("hash")).agg(F.least(F.min("b"), F.min("a")).alias("root")).checkpoint()
+    edges = stored(linked.select("a", "b").union(linked.select("b", "a")).distinct(), "edges")
+    label = stored(edges.groupBy(F.col("a").alias("hash")).agg(F.least(F.min("b"), F.min("a")).alias("root")), "labels")
     while True:
         near = edges.join(label, F.col("b") == F.col("hash")).groupBy("a").agg(F.min("root").alias("near"))
         step = label.join(near, F.col("hash") == F.col("a"), "left").select("hash", F.least("root", "near").alias("root"))
         over = step.select(F.col("hash").alias("root"), F.col("root").alias("over"))
-        new = step.join(over, "root", "left").select("hash", F.least("root", F.coalesce("over", "root")).alias("root")).checkpoint()
+        new = stored(step.join(over, "root", "left").select("hash", F.least("root", F.coalesce("over", "root")).alias("root")), "labels")
         if not new.join(label.withColumnRenamed("root", "was"), "hash").where("root <> was").limit(1).count():
             return new
         label = new
@@ -79,3 +77,40 @@ def apply_outcome(ranked_rows: DataFrame, decisions: DataFrame, verified: DataFr
     rows = rows.withColumn("kept", kept)
     outcome = F.when(~F.col("marked"), "untouched").when(F.col("kept").isNull(), "refused_all_marked").when(F.col("kept.copies") < min_copies, "refused_unverified").otherwise("deleted")
     return rows.select("hash", "root", outcome.alias("outcome"))
+
+
+def needs_hash(asset: DataFrame, limit: int | None = None) -> DataFrame:
+    """Live images that were never scanned; an empty hash is a failed scan and stays out."""
+    rows = asset.where(S.live(F.col("deleted_at")) & (F.col("media_kind") == "image") & F.col("phash").isNull())
+    return rows.orderBy("hash").limit(limit) if limit else rows
+
+
+def scannable(asset: DataFrame) -> DataFrame:
+    return asset.where(S.live(F.col("deleted_at")) & F.col("phash").isNotNull() & (F.col("phash") != ""))
+
+
+def scanned(asset: DataFrame, results: DataFrame) -> DataFrame:
+    """asset after an incremental scan: results(hash, phash, width, height) of what had no hash; a failure is kept as the empty text."""
+    new = results.select("hash", F.coalesce("phash", F.lit("")).alias("new_phash"), F.col("width").alias("new_width"), F.col("height").alias("new_height"))
+    rows = asset.join(new, "hash", "left")
+    take = {c: F.when(F.col("phash").isNull(), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("phash", "width", "height")}
+    return rows.select(*[take.get(c, F.col(c)) for c in asset.columns])
+
+
+def members(ranked_rows: DataFrame, hashed: DataFrame) -> DataFrame:
+    """Members of groups with the group's id and their distance from its keeper."""
+    bits = hashed.select("hash", "bits")
+    keeper = ranked_rows.where("keeper").select("root", "hash").join(bits, "hash").select("root", F.col("bits").alias("kept"))
+    rows = ranked_rows.select("root", "hash", "place").join(bits, "hash").join(keeper, "root")
+    return rows.select(F.substring("root", 1, 12).alias("id"), "hash", "place", S.hamming(F.col("bits"), F.col("kept")).cast("int").alias("distance"))
+
+
+def reviewed(ranked_rows: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Whether any member of a group has a decision."""
+    rows = ranked_rows.join(decisions.select("hash", "action"), "hash", "left")
+    return rows.groupBy("root").agg(F.coalesce(F.bool_or(F.col("action").isNotNull()), F.lit(False)).alias("reviewed"))
+
+
+def largest(groups_: DataFrame, limit: int) -> DataFrame:
+    """Groups by wasted bytes."""
+    return groups_.orderBy(F.desc("wasted_bytes"), "root").limit(limit)

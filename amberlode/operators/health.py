@@ -35,8 +35,9 @@ def histogram(counted: DataFrame) -> DataFrame:
     return counted.groupBy("copies").agg(F.count("*").alias("assets"))
 
 
-def checks(counted: DataFrame, require_offline: bool = True, min_copies: int = MIN_COPIES) -> DataFrame:
-    """Zero copies count as single; the verdict leaves single copies out."""
+def checks(counted: DataFrame, replica: DataFrame, require_offline: bool = True, min_copies: int = MIN_COPIES) -> DataFrame:
+    """Zero copies count as single; the verdict leaves single copies out. Assets without an offline copy count only where some replica is offline."""
+    require_offline = require_offline and bool(replica.where("is_offline").limit(1).count())
     out = counted.agg(
         F.count_if(F.col("copies") < min_copies).alias("underprotected"), F.count_if(F.col("copies") <= 1).alias("single_copy"),
         F.count_if((F.col("offline_copies") == 0) & F.lit(require_offline)).alias("no_offline"), F.count_if(F.col("bad") > 0).alias("corrupt"),

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.semantics import placement_score
+from ..functions.semantics import parse_size, placement_score
+from ..sources.scratch import stored
+
+HEADROOM = 0.10
 
 
 def ranked(asset: DataFrame, shards: DataFrame) -> DataFrame:
@@ -24,11 +28,14 @@ def plan(asset: DataFrame, shards: DataFrame, k: int, require_offline: bool = Fa
     Where an offline copy is required and none is among them, the last gives way
     to the best offline drive.
     """
-    rows = ranked(asset, shards)
+    rows = ranked(asset, shards).select("hash", "size", F.posexplode(_best(k, require_offline)).alias("pos", "d"))
+    return rows.select("hash", "size", F.col("d.replica").alias("replica"), (F.col("pos") + 1).cast("int").alias("rank"))
+
+
+def _best(k: int, require_offline: bool) -> Column:
     picked, rest = F.slice("drives", 1, k), F.filter("drives", lambda x: x["is_offline"])
     swap = ~F.exists(picked, lambda x: x["is_offline"]) & (F.size(rest) > 0) & F.lit(require_offline)
-    chosen = F.when(swap, F.concat(F.slice("drives", 1, k - 1), F.slice(rest, 1, 1))).otherwise(picked)
-    return rows.select("hash", "size", F.posexplode(chosen).alias("pos", "d")).select("hash", "size", F.col("d.replica").alias("replica"), (F.col("pos") + 1).cast("int").alias("rank"))
+    return F.when(swap, F.concat(F.slice("drives", 1, k - 1), F.slice(rest, 1, 1))).otherwise(picked)
 
 
 def plan_stats(plan_rows: DataFrame) -> DataFrame:
@@ -41,22 +48,94 @@ def overflowing(plan_rows: DataFrame, capacity: dict[str, int]) -> DataFrame:
     return plan_stats(plan_rows).withColumn("capacity", F.try_element_at(limit, F.col("replica"))).where(F.col("bytes") > F.col("capacity"))
 
 
-def plan_within(asset: DataFrame, shards: DataFrame, k: int, capacity: dict[str, int]) -> DataFrame:
-    """hash, size, replicas, short: assets in hash order take their best shards that still have room.
+def shards_needed(min_copies: int, full: int) -> int:
+    """Copies that shards must add to those of the replicas that hold everything."""
+    return max(0, min_copies - full)
+
+
+def usable(shards: DataFrame) -> DataFrame:
+    """shards with their capacity less headroom, and weight: the capacity, or 1 where it is not known or all are unknown. capacity is text such as '1.8TB' or auto."""
+    room = F.floor(parse_size(F.col("capacity")) * (1 - HEADROOM)).cast("bigint")
+    return shards.withColumn("room", room).withColumn("weight", F.when(F.col("room") > 0, F.col("room").cast("double")).otherwise(1.0))
+
+
+def planned_for(plan_rows: DataFrame, replica: DataFrame, name: str) -> DataFrame | None:
+    """Hashes that a shard should hold; None for a replica that holds everything."""
+    shard = [r["is_shard"] for r in replica.where(F.col("replica") == name).select("is_shard").collect()]
+    return plan_rows.where(F.col("replica") == name).select("hash") if shard and shard[0] else None
 
-    The rule is sequential by definition, so rows pass by one at a time in order,
-    a partition of the sorted table after the other; only the bytes used by each
-    drive are kept between rows. Use plan where nothing overflows.
+
+CHUNK_ROWS = 200_000
+
+
+def plan_within(asset: DataFrame, shards: DataFrame, k: int, capacity: dict[str, int], require_offline: bool = False) -> DataFrame:
+    """hash, size, replicas, short: assets in hash order take their k best shards that still have room.
+
+    A drive that is full for one asset is passed over; a smaller one later may still
+    fit. Where an offline copy is required and none was picked, the last pick gives
+    way to the best offline drive with room. The table is cut into ranges of hashes of about CHUNK_ROWS rows. While no drive
+    fills, the plan without capacities is right, so prefix sums of its bytes by range
+    tell up to where all ranges can be planned at once. From there on one range
+    after the other is walked on an executor. The driver sees the bytes used by each
+    drive and range only, no rows.
     """
-    spark = asset.sparkSession
-    used = dict.fromkeys(capacity, 0)
-    rows = []
-    for r in ranked(asset, shards).orderBy("hash").toLocalIterator():
-        picked = [d["replica"] for d in r["drives"] if used.get(d["replica"], 0) + r["size"] <= capacity.get(d["replica"], float("inf"))][:k]
-        for name in picked:
-            used[name] = used.get(name, 0) + r["size"]
-        rows.append((r["hash"], r["size"], picked, len(picked) < k))
-    return spark.createDataFrame(rows, "hash string, size bigint, replicas array<string>, short boolean")
+    ranks = ranked(asset, shards)
+    chunks = max(1, -(-asset.count() // CHUNK_ROWS))
+    of = F.floor(F.conv(F.substring("hash", 1, 8), 16, 10).cast("bigint") * chunks / 2**32).cast("int")
+    rows = stored(ranks.withColumn("chunk", of), "ranked")
+    chosen = _best(k, require_offline)
+    free = rows.select("hash", "size", "chunk", F.transform(chosen, lambda x: x["replica"]).alias("replicas"))
+    used, first = dict.fromkeys(capacity, 0), chunks
+    sums: dict[int, dict[str, int]] = {}
+    for r in free.select("chunk", "size", F.explode("replicas").alias("replica")).groupBy("chunk", "replica").agg(F.sum("size").alias("bytes")).collect():
+        sums.setdefault(r["chunk"], {})[r["replica"]] = r["bytes"]
+    for c in range(chunks):
+        after = {name: n + sums.get(c, {}).get(name, 0) for name, n in used.items()}
+        if any(n > capacity[name] for name, n in after.items()):
+            first = c
+            break
+        used = after
+    out = free.where(F.col("chunk") < first).select("hash", "size", "replicas", (F.size("replicas") < k).alias("short"))
+    for c in range(first, chunks):
+        done = stored(_walked(rows.where(F.col("chunk") == c), k, capacity, dict(used), require_offline), "planned")
+        for r in done.select("size", F.explode("replicas").alias("replica")).groupBy("replica").agg(F.sum("size").alias("bytes")).collect():
+            if r["replica"] in used:
+                used[r["replica"]] += r["bytes"]
+        out = out.unionByName(done)
+    return out
+
+
+def _walked(rows: DataFrame, k: int, capacity: dict[str, int], used: dict[str, int], require_offline: bool) -> DataFrame:
+    """One range of hashes in order, from the bytes used before it."""
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        held, out = dict(used), []
+        for row in part.sort_values("hash").itertuples():
+            fits = [d for d in row.drives if held.get(d["replica"], 0) + row.size <= capacity.get(d["replica"], float("inf"))]
+            picked = fits[:k]
+            if require_offline and not any(d["is_offline"] for d in picked):
+                other = next((d for d in fits if d["is_offline"]), None)
+                if other is not None:
+                    picked = [*picked[:-1], other]
+            names = [d["replica"] for d in picked]
+            for name in names:
+                held[name] = held.get(name, 0) + row.size
+            out.append((row.hash, row.size, names, len(names) < k))
+        return pd.DataFrame(out, columns=["hash", "size", "replicas", "short"])
+
+    return rows.select("chunk", "hash", F.col("size").alias("size"), "drives").groupBy("chunk").applyInPandas(walk, "hash string, size bigint, replicas array<string>, short boolean")
+
+
+def fill(planned: DataFrame, capacity: dict[str, int]) -> DataFrame:
+    """replica, files, bytes, capacity and fill of a plan (hash, size, replicas)."""
+    limit = F.create_map(*[F.lit(x) for kv in capacity.items() for x in kv])
+    sums = plan_stats(planned.select("size", F.explode("replicas").alias("replica")))
+    return sums.withColumn("capacity", F.try_element_at(limit, F.col("replica")).cast("bigint")).withColumn("fill", F.col("bytes") / F.col("capacity"))
+
+
+def unplaceable(planned: DataFrame, full: int = 0) -> DataFrame:
+    """Assets that got fewer copies than wanted, with the number that they got."""
+    return planned.where("short").select("hash", (F.size("replicas") + full).alias("copies"))
 
 
 def moved(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import semantics as S
 from ..operators import catalog as C
 from ..operators import duplicates as D
+from ..operators import flows as X
 from ..operators import health as H
 from ..operators import placement as P
 from ..sources import tables as T
@@ -66,9 +67,9 @@ def health_histogram(s, d):
 
 
 @query("health_checks", _COPIES + """select *, underprotected = 0 and corrupt = 0 and no_offline = 0 as ok from (select count(*) filter (where copies < 3) as underprotected,
-  count(*) filter (where copies <= 1) as single_copy, count(*) filter (where offline_copies = 0) as no_offline, count(*) filter (where bad > 0) as corrupt from counted)""")
+  count(*) filter (where copies <= 1) as single_copy, count(*) filter (where offline_copies = 0 and exists (select 1 from replica where is_offline)) as no_offline, count(*) filter (where bad > 0) as corrupt from counted)""")
 def health_checks(s, d):
-    return H.checks(_counted(s, d))
+    return H.checks(_counted(s, d), T.replica(s, d))
 
 
 @query("never_verified", "select count(*) as never_verified from placement where state = 'present' and verified_at is null")
@@ -241,12 +242,11 @@ def reconcile_merge(s, d):
     return C.reconcile(a, T.placement(s, d), listing, P.plan(a, _shards(s, d), 2).where(F.col("replica") == SITE), SITE)
 
 
-@query("repair_source", """select b.hash, b.replica as broken, min(g.replica) as source from placement b left join placement g on g.hash = b.hash and g.replica <> b.replica and g.state = 'present'
-where b.state = 'corrupt' group by b.hash, b.replica""")
+@query("repair_source", """, good as (select hash, arg_min(replica, place) as source from disk where actual = hash group by hash)
+select b.hash, b.replica as broken, source from placement b left join good g on g.hash = b.hash where b.state = 'corrupt'""")
 def repair_source(s, d):
-    p = T.placement(s, d)
-    good = p.where("state = 'present'").groupBy("hash").agg(F.min("replica").alias("source"))
-    return p.where("state = 'corrupt'").select("hash", F.col("replica").alias("broken")).join(good, "hash", "left").select("hash", "broken", "source")
+    good = X.good_copies(T.disk(s, d).drop("place"), T.replica(s, d).select("replica", "place"))
+    return T.placement(s, d).where("state = 'corrupt'").select("hash", F.col("replica").alias("broken")).join(good.select("hash", "source"), "hash", "left")
 
 
 @query("dedup_first_seen", "select hash, min(doc_id) as doc_id, '/scan/' || cast(min(doc_id) as varchar) as abs_path, count(*) as files, min(size) as size from source_file group by hash")
@@ -276,9 +276,9 @@ def weak_source_redate(s, d):
 
 @query("filename_date", """select hash, strftime(try_cast(y || '-' || m || '-' || d || ' 12:00:00' as timestamp), '%Y-%m-%dT%H:%M:%S') as at from (
   select hash, regexp_extract(name, p, 1) as y, regexp_extract(name, p, 2) as m, regexp_extract(name, p, 3) as d
-  from (select hash, 'scan_' || strftime(added_at, '%Y-%m-') || lpad(cast(o_orderkey % 40 as varchar), 2, '0') || '.' || ext as name, '((?:19|20)[0-9]{2})[-_.]?([0-9]{2})[-_.]?([0-9]{2})' as p from asset))""")
+  from (select hash, 'IMG_19991399_' || strftime(added_at, '%Y-%m-') || lpad(cast(o_orderkey % 40 as varchar), 2, '0') || '.' || ext as name, '((?:19|20)[0-9]{2})[-_.]?(0[1-9]|1[0-2])[-_.]?(0[1-9]|[12][0-9]|3[01])' as p from asset))""")
 def filename_date(s, d):
-    name = F.concat(F.lit("scan_"), F.date_format("added_at", "yyyy-MM-"), F.lpad((F.col("o_orderkey") % 40).cast("string"), 2, "0"), F.lit("."), F.col("ext"))
+    name = F.concat(F.lit("IMG_19991399_"), F.date_format("added_at", "yyyy-MM-"), F.lpad((F.col("o_orderkey") % 40).cast("string"), 2, "0"), F.lit("."), F.col("ext"))
     return T.asset(s, d).select("hash", S.rendered(S.filename_date(name)).alias("at"))
 
 
@@ -408,6 +408,16 @@ def state_as_of(s, d):
     return past.groupBy("user_id").agg(F.max(F.struct("at", "id", "kind")).alias("x")).select("user_id", F.col("x.id").alias("id"), F.col("x.kind").alias("kind"))
 
 
-@query("album_manifest", "select kind as album, cast(user_id % 10 as bigint) as part, count(*) as photos, min(id) as first, max(id) as last from event group by 1, 2")
+_PHOTOS = "case when id % 2 = 0 then '/library/' else '/other/' end || cast(id as varchar) || '.jpg'"
+
+
+@query("album_manifest", f"""select kind as album, count(*) as photo_count,
+  string_agg('f' || cast(id as varchar) || '|' || case when id % 2 = 0 then substr({_PHOTOS}, 10) else {_PHOTOS} end || '|' || md5(cast(id as varchar)), ',' order by id) as photos from event group by kind""")
 def album_manifest(s, d):
-    return T.event(s, d).groupBy(F.col("kind").alias("album"), (F.col("user_id") % 10).alias("part")).agg(F.count("*").alias("photos"), F.min("id").alias("first"), F.max("id").alias("last"))
+    path = F.concat(F.when(F.col("id") % 2 == 0, "/library/").otherwise("/other/"), F.col("id").cast("string"), F.lit(".jpg"))
+    photos = T.event(s, d).select(F.col("kind").alias("album"), F.col("id").alias("place"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("file"), path.alias("path"), F.md5(F.col("id").cast("string").cast("binary")).alias("checksum"))
+    flat = F.array_join(F.transform("photos", lambda x: F.concat_ws("|", x["file"], x["library_path"], x["checksum"])), ",")
+    return X.manifest(photos, "/library/").select("album", "photo_count", flat.alias("photos"))
+
+
+from . import flow_queries  # noqa: E402, F401  registers the dataflows

@@ -34,7 +34,7 @@ def asset(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replica(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five rows: the first keeps everything, the others are shards weighted by their key; two are offline."""
     r = read(spark, sf_dir, "region")
-    return r.select(F.col("r_name").alias("replica"), (F.col("r_regionkey") >= 3).alias("is_offline"), (F.col("r_regionkey") > 0).alias("is_shard"), F.col("r_regionkey").cast("double").alias("weight"))
+    return r.select(F.col("r_name").alias("replica"), (F.col("r_regionkey") >= 3).alias("is_offline"), (F.col("r_regionkey") > 0).alias("is_shard"), F.col("r_regionkey").cast("double").alias("weight"), F.col("r_regionkey").alias("place"))
 
 
 def placement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,15 @@ def placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select(F.sha2(F.col("l_orderkey").cast("string").cast("binary"), 256).alias("hash"), "replica", state.alias("state"), F.when(F.col("x.l_linestatus") == "F", F.col("x.l_shipdate")).alias("verified_at"))
 
 
+def disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What storages really hold of each placement: most bytes hash right, some don't, some files are gone."""
+    order = F.broadcast(replica(spark, sf_dir).select("replica", "place"))  # five rows
+    rows = placement(spark, sf_dir).select("hash", "replica").join(asset(spark, sf_dir).select("hash", "o_orderkey", "rel_path", "size", "ext"), "hash").join(order, "replica")
+    k = (F.col("o_orderkey") * 7 + F.col("place") * 3) % 11
+    actual = F.when(k < 8, F.col("hash")).when(k == 8, F.sha2(F.concat("hash", F.lit("x")).cast("binary"), 256))
+    return rows.select("hash", "replica", "place", "rel_path", "size", "ext", actual.alias("actual"))
+
+
 def event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("at"), F.col("event_type").alias("kind"), F.col("props").alias("detail"), "user_id")
 
@@ -67,13 +76,17 @@ asset as (
   from (select o_orderkey, sha256(cast(o_orderkey as varchar)) as hash, cast(round(o_totalprice) as bigint) as size,
     case o_orderkey % {len(EXTS)} {_EXT} end as ext, case substr(o_orderpriority, 1, 1) {_CASE} end as time_source, o_orderdate as added_at,
     case when substr(o_orderpriority, 1, 1) <> '5' then o_orderdate end as captured_at, case when o_orderstatus = 'P' then o_orderdate end as deleted_at from orders)),
-replica as (select r_name as replica, r_regionkey >= 3 as is_offline, r_regionkey > 0 as is_shard, cast(r_regionkey as double) as weight from region),
+replica as (select r_name as replica, r_regionkey >= 3 as is_offline, r_regionkey > 0 as is_shard, cast(r_regionkey as double) as weight, r_regionkey as place from region),
 placement as (
   select sha256(cast(l_orderkey as varchar)) as hash, replica, case l_returnflag when 'N' then 'present' when 'A' then 'missing' else 'corrupt' end as state,
     case when l_linestatus = 'F' then l_shipdate end as verified_at
   from (select l.*, r_name as replica, row_number() over (partition by l_orderkey, r_name
       order by l_shipdate desc, l_linenumber desc, l_partkey desc, l_suppkey desc, l_extendedprice desc, l_returnflag desc, l_linestatus desc) as k
     from lineitem l join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey) where k = 1),
+disk as (
+  select p.hash, p.replica, r.place, a.rel_path, a.size, a.ext,
+    case when (a.o_orderkey * 7 + r.place * 3) % 11 < 8 then p.hash when (a.o_orderkey * 7 + r.place * 3) % 11 = 8 then sha256(p.hash || 'x') end as actual
+  from placement p join asset a on a.hash = p.hash join replica r on r.replica = p.replica),
 event as (select event_id as id, ts as moment, event_type as kind, props as detail, user_id from events),
 source_file as (select doc_id, sha256(text) as hash, source as device, '/scan/' || cast(doc_id as varchar) as abs_path, cast(octet_length(encode(text)) as bigint) as size from documents)
 """

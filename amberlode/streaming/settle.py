@@ -29,7 +29,8 @@ def sessions(event: DataFrame, gap_seconds: int) -> DataFrame:
 def settled(changes: DataFrame, settle: str = "4 seconds", late: str = "10 minutes") -> DataFrame:
     """On a stream: a path with its last size once it hasn't changed for the settle time. Rows later than late are dropped."""
     watched = changes.withWatermark("at", late).groupBy("path", F.session_window("at", settle))
-    return watched.agg(F.max_by("size", "at").alias("size"), F.max("hash").alias("hash"), F.count("*").alias("changes")).select("path", "size", "hash", "changes", F.col("session_window.start").alias("since"))
+    last = F.max(F.struct("at", "size", "hash")).alias("last")
+    return watched.agg(last, F.count("*").alias("changes")).select("path", "last.size", "last.hash", "changes", F.col("session_window.start").alias("since"))
 
 
 def windowed_counts(event: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -37,13 +38,40 @@ def windowed_counts(event: DataFrame, width: str = "1 hour", late: str = "1 hour
     return event.withWatermark("at", late).groupBy(F.window("at", width), "kind").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "kind", "n")
 
 
-def ingest(store: Store, table: str = "asset") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: what the table doesn't hold yet is appended, once a batch even if the batch repeats."""
+def ingest(store: Store, stream: str, table: str = "asset") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: what the table doesn't hold yet is appended, once a batch even if the batch repeats.
+
+    stream names the query, as its batch numbers are its own; give a new name with a new checkpoint.
+    """
 
     def body(batch: DataFrame, number: int) -> None:
-        if store.mark(table) >= number + 1:
+        if store.mark(table, stream) >= number + 1:
             return
         firsts = batch.groupBy("hash").agg(F.min(F.struct("path", "size")).alias("x")).select("hash", "x.path", "x.size")
-        store.insert_ignore(table, firsts, ["hash"], mark=number + 1)
+        store.insert_ignore(table, firsts, ["hash"], mark={stream: number + 1})
+
+    return body
+
+
+def replicated(store: Store, stream: str, replicas: list[str], source: str = "asset", table: str = "placement") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function of the whole order: ingest first, then a placement on each replica, then the staged rows are cleared.
+
+    Each step has its own mark, so a batch that failed between two goes on where it stopped.
+    """
+    first = ingest(store, stream, source)
+
+    def body(batch: DataFrame, number: int) -> None:
+        first(batch, number)
+        if store.mark(table, stream) < number + 1:
+            rows = batch.select("hash").distinct().select("hash", F.explode(F.array(*map(F.lit, replicas))).alias("replica"), F.lit("present").alias("state"))
+            store.insert_ignore(table, rows, ["hash", "replica"], mark={stream: number + 1})
+        if store.exists("staged") and store.mark("staged", stream) < number + 1:
+            store.delete("staged", batch.select("path").distinct(), ["path"], mark={stream: number + 1})
 
     return body
+
+
+def run(changes: DataFrame, body: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
+    """Start a stream of settled items into body: once over what is there, or at an interval. Returns the query, whose stop and lastProgress serve to cancel and to watch."""
+    writer = settled(changes).writeStream.outputMode("append").foreachBatch(body).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
