@@ -1,27 +1,35 @@
 """Operator 9: exact top-k inner products by dual-tree search over cover trees.
 
-Components become floor(64 * x). Rows are dealt to data blocks and queries to
-query blocks of a bounded size by hash; every pair of blocks is one group. In it
-both sides are indexed by a cover tree: a node's children are centres picked
-farthest first, so each is further from the others than the distance within which
-they cover the node's points, until that is half the node's radius or FAN centres
-are picked; points go to their nearest centre. Pairs of
-nodes are visited from the largest bound down; with centres p, q and covering
-radii r, s no inner product exceeds p.q + r|q| + s|p| + rs, and a pair is pruned
-if that is below the worst kth score of the queries in the node. Each group
-returns k rows for a query at most; these are ranked again over all groups.
-
-Ties go to the smaller vec_id. Rows that repeat both id and vector count once;
-an id with several vectors competes with each of them. Vectors that are null or
+Components become floor(64 * x). The upper level of the index is made of pivots,
+picked farthest first from a bounded sample; every row goes to the cell of its nearest
+pivot, and a cell is cut by hash into blocks of a bounded size. Each block is indexed
+once by a cover tree: a node's children are centres picked farthest first, until they
+cover its points within half its radius; points go to their nearest centre. A block
+is stored as one row with its vectors, its tree, its centre and its covering radius.
+Queries are indexed in the same way.
+
+With centres p, q and covering radii r, s no inner product of two nodes exceeds
+p.q + r|q| + s|p| + rs, nor the product of their longest vectors. The same bound holds for
+whole blocks: each query block first meets the NEAREST blocks of the highest bounds,
+which gives its queries a kth score; of the other blocks only those come to it whose bound
+reaches the worst of these. Within a pair of blocks, pairs of nodes are visited from the
+largest bound down, and a pair is pruned if its bound is below the worst kth score of the
+queries in the node. What is left is ranked over all blocks.
+
+Where vectors lie too far from one another for FAN centres to cover a node at a smaller
+scale, it stays a leaf, and its products are computed in one go; nothing is pruned
+that could count. Ties go to the smaller vec_id. Rows that repeat both id and vector count
+once; an id with several vectors competes with each of them. Vectors that are null or
 hold null or non-finite components take no part; empty ones neither. Only vectors
 of equal length meet. Products stay exact in doubles below 2**52 and are taken
 in integers beyond. An empty table gives an empty result; other columns are
-ignored.
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -29,65 +37,84 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import salted_join, stash, table
 
 K = 20
 EVERY = 20
 DATA_BLOCK = 4096
-QUERY_BLOCK = 2048
-LEAF = 192
-FAN = 16
+QUERY_BLOCK = 1024
+PIVOTS, SAMPLE = 512, 8192
+NEAREST = 2
+LEAF = 64
+FAN = 256
+SHRINK = 0.85
 
 
 class Node:
-    __slots__ = ("centre", "children", "length", "points", "radius")
+    __slots__ = ("centre", "children", "length", "longest", "points", "radius")
 
-    def __init__(self, points: np.ndarray, centre: np.ndarray, radius: float, children: list[Node]):
+    def __init__(self, v: np.ndarray, points: np.ndarray, centre: np.ndarray, radius: float, children: list[Node]):
         self.points, self.centre, self.radius, self.children = points, centre, radius, children
         self.length = float(np.sqrt(centre @ centre))
+        self.longest = float(np.sqrt((v[points] ** 2).sum(1).max()))
 
 
-def cover_tree(v: np.ndarray, points: np.ndarray, at: int) -> Node:
-    """Tree over v[points] with v[at] as centre of its root.
+def farthest_first(v: np.ndarray, points: np.ndarray, at: int, most: int, least: float) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Centres among points from at on, each the farthest from those before it, until all points lie within least of one; nearest centre of each point and its distance."""
+    away = lambda i: np.sqrt(np.maximum(0, ((v[points] - v[i]) ** 2).sum(1)))
+    centres, dist, nearest = [at], away(at), np.zeros(len(points), np.int64)
+    while len(centres) < most and dist.max() > least:
+        centre = int(points[int(np.argmax(dist))])
+        new = away(centre)
+        closer = new < dist
+        dist, nearest = np.where(closer, new, dist), np.where(closer, len(centres), nearest)
+        centres.append(centre)
+    return centres, nearest, dist
 
-    Where the farthest-first centres would leave most points in one child, the
-    points lie too far from one another for a split to prune: they stay a leaf.
-    """
-    away = np.sqrt(np.maximum(0, ((v[points] - v[at]) ** 2).sum(1)))
-    radius = float(away.max())
-    leaf = Node(points, v[at], radius, [])
+
+def cover_tree(v: np.ndarray, points: np.ndarray, at: int) -> Node:
+    """Tree over v[points] with v[at] as centre of its root. A node whose children would not lie at a smaller scale is a leaf."""
+    radius = float(np.sqrt(np.maximum(0, ((v[points] - v[at]) ** 2).sum(1)).max()))
     if len(points) <= LEAF or radius == 0:
-        return leaf
-    centres, near, nearest = [at], away, np.zeros(len(points), np.int64)
-    while len(centres) < FAN and near.max() > radius / 2:
-        centre = int(points[int(np.argmax(near))])
-        dist = np.sqrt(np.maximum(0, ((v[points] - v[centre]) ** 2).sum(1)))
-        closer = dist < near
-        near, nearest = np.where(closer, dist, near), np.where(closer, len(centres), nearest)
-        centres.append(centre)
-    sizes = np.bincount(nearest, minlength=len(centres))
-    if sizes.max() > 0.8 * len(points):
-        return leaf
-    return Node(points, v[at], radius, [cover_tree(v, points[nearest == i], c) for i, c in enumerate(centres) if sizes[i]])
+        return Node(v, points, v[at], radius, [])
+    centres, nearest, dist = farthest_first(v, points, at, FAN, radius / 2)
+    if dist.max() > SHRINK * radius:
+        return Node(v, points, v[at], radius, [])
+    return Node(v, points, v[at], radius, [cover_tree(v, points[nearest == i], c) for i, c in enumerate(centres) if (nearest == i).any()])
 
 
-def search(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and ids of the k best rows of p for each row of q, without rows of the query's own id; unused places hold the lowest score."""
+def root_of(v: np.ndarray) -> Node:
+    """Tree over all rows, from the row nearest to their mean."""
+    return cover_tree(v, np.arange(len(v)), int(np.argmin(((v - v.mean(0)) ** 2).sum(1))))
+
+
+def search(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.ndarray, k: int, trees: tuple[Node, Node] | None = None, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Scores and ids of the k best rows of p for each row of q, without rows of the query's own id, and how many products it took.
+
+    Unused places hold the lowest score. floor: a kth score that each query has already; less is not looked for.
+    """
     top = float(max(np.abs(q).max(), np.abs(p).max()))
     if top * top * q.shape[1] >= 2**52:
-        return _plain(q, q_ids, p, p_ids, k)
+        return *_plain(q, q_ids, p, p_ids, k), len(q) * len(p)
     low = np.iinfo(np.int64).min
     score, ids = np.full((len(q), k), low), np.full((len(q), k), np.iinfo(np.int64).max)
     slack = 1e-9 * (1 + top * top * q.shape[1])
-    a, b = cover_tree(q, np.arange(len(q)), 0), cover_tree(p, np.arange(len(p)), 0)
+    a, b = trees or (root_of(q), root_of(p))
+    floor = np.full(len(q), low) if floor is None else floor
+    done = 0
 
     def bound(x: Node, y: Node) -> float:
-        return float(x.centre @ y.centre) + x.radius * y.length + y.radius * x.length + x.radius * y.radius + slack
+        return min(float(x.centre @ y.centre) + x.radius * y.length + y.radius * x.length + x.radius * y.radius, x.longest * y.longest) + slack
+
+    def least(x: Node) -> float:
+        return np.maximum(score[x.points, -1], floor[x.points]).min()
 
     def leaf(x: Node, y: Node) -> None:
+        nonlocal done
+        done += len(x.points) * len(y.points)
         s = (q[x.points] @ p[y.points].T).astype(np.int64)
         s[q_ids[x.points][:, None] == p_ids[y.points][None, :]] = low
-        rows = np.flatnonzero(s.max(1) >= score[x.points, -1])
+        rows = np.flatnonzero(s.max(1) >= np.maximum(score[x.points, -1], floor[x.points]))
         if not len(rows):
             return
         at = x.points[rows]
@@ -100,7 +127,7 @@ def search(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.ndarray, k
     heap, n = [(-bound(a, b), 0, a, b)], 1
     while heap:
         up, _, x, y = heapq.heappop(heap)
-        if -up < score[x.points, -1].min():
+        if -up < least(x):
             continue
         if not x.children and not y.children:
             leaf(x, y)
@@ -110,10 +137,10 @@ def search(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.ndarray, k
         else:
             pairs = [(x, c) for c in y.children]
         for c, d in pairs:
-            if (most := bound(c, d)) >= score[c.points, -1].min():
+            if (most := bound(c, d)) >= least(c):
                 heapq.heappush(heap, (-most, n, c, d))
                 n += 1
-    return score, ids
+    return score, ids, done
 
 
 def _plain(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,33 +156,119 @@ def _plain(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.ndarray, k
     return score, ids
 
 
+BLOCK = "dim int, block long, n long, ids binary, vectors binary, tree binary, centre array<double>, radius double, length double, longest double"
+_ARROW = pa.schema([("dim", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary()), ("tree", pa.binary()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64()), ("length", pa.float64()), ("longest", pa.float64())])
+
+
+def _pivots(vectors: DataFrame, cells: int) -> dict[int, np.ndarray]:
+    """Up to cells pivots for each length of vectors, from a sample of SAMPLE rows by hash."""
+    out: dict[int, list] = {}
+    for r in vectors.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE).collect():
+        out.setdefault(r["dim"], []).append(r["v"])
+    pivots = {}
+    for dim, rows in out.items():
+        v = np.array(rows, float)
+        pivots[dim] = v[farthest_first(v, np.arange(len(v)), 0, cells, 0.0)[0]]
+    return pivots
+
+
+def blocks(vectors: DataFrame, size: int) -> DataFrame:
+    """One row for each block of vectors(vec_id, v, dim), with its tree."""
+    n = vectors.count()
+    held = vectors.sparkSession.sparkContext.broadcast(_pivots(vectors, min(PIVOTS, -(-n // size)))) if n > size else None
+    kind = pa.schema([("vec_id", pa.int64()), ("v", pa.list_(pa.float64())), ("dim", pa.int32()), ("cell", pa.int32())])
+
+    def near(batches):
+        for batch in batches:
+            cells = np.zeros(batch.num_rows, np.int32)
+            dims = np.asarray(batch.column(2))
+            for dim in np.unique(dims) if held else []:
+                pivots = held.value.get(int(dim))
+                if pivots is not None:
+                    at = np.flatnonzero(dims == dim)
+                    for lo in range(0, len(at), 1024):
+                        some = at[lo : lo + 1024]
+                        v = np.array(batch.column(1).take(pa.array(some)).flatten()).reshape(len(some), -1)
+                        cells[some] = (-2 * v @ pivots.T + (pivots**2).sum(1)).argmin(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.list_(pa.float64())), batch.column(2), pa.array(cells)], schema=kind)
+
+    placed = stash(vectors.select("vec_id", "v", "dim").mapInArrow(near, "vec_id long, v array<double>, dim int, cell int"), "cells")
+    parts = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / size).alias("parts"))
+    dealt = salted_join(placed, placed.groupBy("dim", "cell").agg(F.count("*").alias("n")).join(parts, ["dim", "cell"]), ["dim", "cell"], "n")
+    dealt = dealt.select("vec_id", "v", "dim", "cell", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).alias("part"))
+
+    def build(key, rows):
+        dim, cell, part = (x.as_py() for x in key)
+        order = np.argsort(np.asarray(rows.column("vec_id")), kind="stable")
+        ids = np.asarray(rows.column("vec_id"))[order]
+        v = np.asarray(rows.column("v").combine_chunks().flatten()).reshape(len(ids), dim)[order]
+        root = root_of(v)
+        row = (dim, (cell << 32) + part, len(ids), ids.astype("<i8").tobytes(), v.tobytes(), pickle.dumps(root, 5), root.centre.tolist(), root.radius, root.length, root.longest)
+        return pa.table([[x] for x in row], schema=_ARROW)
+
+    return stash(dealt.groupBy("dim", "cell", "part").applyInArrow(build, BLOCK), "blocks")
+
+
 def top_products(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows for each row whose vec_id is divisible by every."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     whole = whole.where((F.size("embedding") > 0) & ~bad & F.col("vec_id").isNotNull())
-    whole = stash(whole.select("vec_id", F.transform("embedding", lambda x: F.floor(x * 64).cast("double")).alias("v")).distinct(), "vectors")
-    counts = whole.agg(F.count("*").alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q")).first()
-    data, query = max(1, -(-counts["n"] // DATA_BLOCK)), max(1, -(-(counts["q"] or 0) // QUERY_BLOCK))
-    h = F.xxhash64("vec_id", "v")
-    side = lambda own, n, other, m: [F.pmod(h, F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)]
-    rows = whole.select("vec_id", "v", F.size("v").alias("dim"), *side("d", data, "q", query))
-    asks = whole.where(F.col("vec_id") % every == 0).select("vec_id", "v", F.size("v").alias("dim"), *side("q", query, "d", data))
-    arrow = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-    def run(left, right):
-        if not left.num_rows or not right.num_rows:
-            return arrow.empty_table()
-        shape = lambda t: np.asarray(t.column("v").combine_chunks().flatten()).reshape(t.num_rows, -1)
-        asked, held = np.asarray(left.column("vec_id")), np.asarray(right.column("vec_id"))
-        score, ids = search(shape(left), asked, shape(right), held, k)
-        used = score > np.iinfo(np.int64).min
-        return pa.table([np.broadcast_to(asked[:, None], score.shape)[used], ids[used], score[used]], schema=arrow)
-
-    key = ["dim", "q", "d"]
-    best = asks.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(run, "query_id long, vec_id long, score long")
+    whole = whole.select("vec_id", F.transform("embedding", lambda x: F.floor(x * 64).cast("double")).alias("v")).distinct()
+    whole = stash(whole.select("vec_id", "v", F.size("v").alias("dim")), "vectors")
+    rows, asks = blocks(whole, DATA_BLOCK), blocks(whole.where(F.col("vec_id") % every == 0), QUERY_BLOCK)
+    head = lambda df, x: df.select("dim", F.col("block").alias(f"{x}_block"), *[F.col(c).alias(f"{x}_{c}") for c in ("centre", "radius", "length", "longest")])
+    dot = F.aggregate(F.zip_with("q_centre", "d_centre", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    ball = dot + F.col("q_radius") * F.col("d_length") + F.col("d_radius") * F.col("q_length") + F.col("q_radius") * F.col("d_radius")
+    bound = F.least(ball, F.col("q_longest") * F.col("d_longest"))
+    # Summaries of blocks only: a row for DATA_BLOCK vectors meets one for QUERY_BLOCK queries.
+    pairs = head(asks, "q").join(head(rows, "d"), "dim").select("dim", "q_block", "d_block", (bound + 1e-6 * (1 + F.abs(bound))).alias("bound"))
+    pairs = stash(pairs.withColumn("turn", F.row_number().over(W.partitionBy("dim", "q_block").orderBy(F.desc("bound"), "d_block"))), "pairs")
+    load = lambda df, x: df.select("dim", F.col("block").alias(f"{x}_block"), *[F.col(c).alias(f"{x}_{c}") for c in ("ids", "vectors", "tree")])
+    found = pa.schema([("dim", pa.int32()), ("q_block", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("at", pa.int64()), ("kth", pa.int64())])
+    low = np.iinfo(np.int64).min
+
+    def meet(table):
+        """All blocks of one group against its query block; kth starts from those of earlier blocks."""
+        out = []
+        for row in table.to_pylist():
+            q_ids, p_ids = (np.frombuffer(row[x], "<i8") for x in ("q_ids", "d_ids"))
+            q, p = (np.frombuffer(row[x]).reshape(-1, row["dim"]) for x in ("q_vectors", "d_vectors"))
+            floor = np.frombuffer(row["kth"], "<i8") if row["kth"] is not None else None
+            score, ids, _ = search(q, q_ids, p, p_ids, k, (pickle.loads(row["q_tree"]), pickle.loads(row["d_tree"])), floor)
+            used = score > low
+            at = np.broadcast_to(np.arange(len(q))[:, None], score.shape)
+            n = int(used.sum())
+            out.append(pa.table([pa.array([row["dim"]] * n, pa.int32()), [row["q_block"]] * n, q_ids[at[used]], ids[used], score[used], at[used], np.broadcast_to(score[:, -1:], score.shape)[used]], schema=found))
+        return pa.concat_tables(out) if out else found.empty_table()
+
+    schema = "dim int, q_block long, query_id long, vec_id long, score long, at long, kth long"
+    of = ["dim", "q_block"]
+
+    def searched(some: DataFrame) -> DataFrame:
+        with_q = some.join(load(asks, "q"), of)
+        return with_q.join(load(rows, "d"), ["dim", "d_block"]).groupBy("dim", "q_block", "d_block").applyInArrow(meet, schema)
+
+    first = stash(searched(pairs.where(F.col("turn") <= NEAREST).select("dim", "q_block", "d_block", F.lit(None).cast("binary").alias("kth"))), "first")
+    # A query's kth score so far is the best that one block alone gives it, or none.
+    best = first.groupBy(*of, "at").agg(F.max("kth").alias("kth"), F.max("query_id").alias("query_id"))
+    per = best.groupBy(*of).agg(F.collect_list(F.struct("at", "kth")).alias("x"))
+    packed = pa.schema([("dim", pa.int32()), ("q_block", pa.int64()), ("kth", pa.binary()), ("worst", pa.float64())])
+
+    def pack(table):
+        row = table.to_pylist()[0]
+        kth = np.full(row["n"], low, np.int64)
+        for x in row["x"] or []:
+            kth[x["at"]] = max(x["kth"], low)
+        return pa.table([pa.array([row["dim"]], pa.int32()), [row["q_block"]], [kth.astype("<i8").tobytes()], [float(kth.min())]], schema=packed)
+
+    state = asks.select("dim", F.col("block").alias("q_block"), "n").join(per, of, "left")
+    state = stash(state.groupBy(*of).applyInArrow(pack, "dim int, q_block long, kth binary, worst double"), "state")
+    open_ = pairs.where(F.col("turn") > NEAREST).join(state, of).where(F.col("bound") >= F.col("worst"))
+    rest = searched(open_.select("dim", "q_block", "d_block", "kth"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    every_ = first.unionByName(rest).select("query_id", "vec_id", "score")
+    return every_.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

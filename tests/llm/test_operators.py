@@ -156,6 +156,24 @@ def test_top_products_equal_brute_force(spark):
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
 
 
+def test_blocks_and_trees_prune_and_lose_nothing(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    centres = r.standard_normal((12, 16)) * 3
+    v = np.concatenate([c + r.standard_normal((60, 16)) * 0.05 for c in centres])[r.permutation(720)]
+    w = np.floor(v * 64)
+    for name, n in (("DATA_BLOCK", 64), ("QUERY_BLOCK", 8), ("PIVOTS", 12), ("LEAF", 8)):
+        monkeypatch.setattr(topk, name, n)
+    score, ids, done = topk.search(w[::20], np.arange(0, 720, 20), w, np.arange(720), 5)
+    assert done < 0.35 * 36 * 720
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_products(rows, k=5).collect()))
+    want = []
+    for q in range(0, 720, 20):
+        best = sorted((-int(w[q] @ w[i]), i) for i in range(720) if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_fold_of_ranked_merges_in_spark_and_numpy(spark):
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     slots = bpe.rank_table(bpe.pair_ranks(ranks))
