@@ -47,7 +47,7 @@ PIVOTS, SAMPLE = 512, 8192
 NEAREST = 2
 LEAF = 64
 FAN = 256
-SHRINK = 0.85
+SHRINK = 0.7
 
 
 class Node:
@@ -61,7 +61,9 @@ class Node:
 
 def farthest_first(v: np.ndarray, points: np.ndarray, at: int, most: int, least: float) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Centres among points from at on, each the farthest from those before it, until all points lie within least of one; nearest centre of each point and its distance."""
-    away = lambda i: np.sqrt(np.maximum(0, ((v[points] - v[i]) ** 2).sum(1)))
+    own = v[points]
+    square = (own * own).sum(1)
+    away = lambda i: np.sqrt(np.maximum(0, square - 2 * (own @ v[i]) + v[i] @ v[i]))
     centres, dist, nearest = [at], away(at), np.zeros(len(points), np.int64)
     while len(centres) < most and dist.max() > least:
         centre = int(points[int(np.argmax(dist))])
