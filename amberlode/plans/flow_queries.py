@@ -310,6 +310,8 @@ def scan_incremental(s, d):
     return D.scanned(rows, done).select("hash", "phash", "width")
 
 
+#: SQL that walks assets one by one: too slow on whole tables, so only tests on small ones run it.
+SLOW_SQL: dict[str, str] = {}
 ROOM = 0.6  # share of the plain plan's bytes that fits on a drive, so that drives fill
 
 
@@ -331,17 +333,26 @@ walk(i, hash, size, used, picked) as (
 _NAMES = "list_transform(picked, lambda k: case k when 1 then 'AMERICA' when 2 then 'ASIA' when 3 then 'EUROPE' else 'MIDDLE EAST' end)"
 
 
-@query("plan_capacity", _WALK + f"select hash, size, array_to_string({_NAMES}, ',') as replicas, len(picked) < 2 as short from walk where i > 0")
+SLOW_SQL["plan_capacity"] = f"with recursive {T.DUCK}" + _WALK + (f"select hash, size, array_to_string({_NAMES}, ',') as replicas, len(picked) < 2 as short from walk where i > 0")
+
+
+@query("plan_capacity")
 def plan_capacity(s, d):
     return _within(s, d)[0].withColumn("replicas", F.array_join("replicas", ","))
 
 
-@query("plan_fill", _WALK + ", placed as (select size, unnest(picked) as k from walk where i > 0) select r.replica, count(*) as files, cast(sum(p.size) as bigint) as bytes, (select room from room) as capacity, sum(p.size) / cast((select room from room) as double) as fill from placed p join replica r on r.place = p.k group by r.replica")
+SLOW_SQL["plan_fill"] = f"with recursive {T.DUCK}" + _WALK + (", placed as (select size, unnest(picked) as k from walk where i > 0) select r.replica, count(*) as files, cast(sum(p.size) as bigint) as bytes, (select room from room) as capacity, sum(p.size) / cast((select room from room) as double) as fill from placed p join replica r on r.place = p.k group by r.replica")
+
+
+@query("plan_fill")
 def plan_fill(s, d):
     return P.fill(*_within(s, d))
 
 
-@query("plan_unplaceable", _WALK + "select hash, cast(len(picked) + 1 as integer) as copies from walk where i > 0 and len(picked) < 2")
+SLOW_SQL["plan_unplaceable"] = f"with recursive {T.DUCK}" + _WALK + ("select hash, cast(len(picked) + 1 as integer) as copies from walk where i > 0 and len(picked) < 2")
+
+
+@query("plan_unplaceable")
 def plan_unplaceable(s, d):
     return P.unplaceable(_within(s, d)[0], full=1)
 
