@@ -190,20 +190,21 @@ def learned_patterns(tokens: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """pattern, conf, n: the sure patterns of the bipartite graph of tokens(pattern, value, seed, long), with their number of tokens."""
     edges = tokens.groupBy("pattern", "value").agg(F.max("seed").alias("here"), F.max("long").alias("long"), F.count("*").alias("n"))
     edges = stash(edges, "edges")
-    known = edges.where("here").groupBy("value").agg(F.count("*").alias("n_edges"))
-    degree = edges.groupBy("value").agg(F.count("*").alias("n_edges"))
-    seeds = known.select("value", F.lit(True).alias("base")).join(degree, "value")
+    degree = edges.groupBy("value").agg(F.count("*").alias("n_edges"), F.max("here").alias("here"))
+    seeds = degree.where("here").select("value", F.lit(True).alias("base"), "n_edges")
     edges = stash(salted_join(edges, seeds, ["value"], "n_edges", "left").select("pattern", "value", F.coalesce("base", F.lit(False)).alias("base"), (F.col("long") & F.col("base").isNull()).alias("long"), "n"), "edges")
     held = edges.groupBy("pattern").agg(F.count("*").alias("size"), F.count_if("base").alias("seeds"), F.sum("n").alias("n"))
     held = stash(held, "patterns")
     # Only patterns with a seed can ever be sure by seeds, and only values that sure patterns reach add to the others.
     sure = stash(held.select("pattern", "n", "size", (F.col("seeds") / F.col("size")).alias("conf"), "seeds").where((F.col("seeds") >= MIN_SEEDS) & (F.col("conf") >= MIN_CONFIDENCE)).select("pattern", "conf", "size", "n"), "sure")
     for _ in range(rounds - 1):
+        if not sure.limit(1).count():  # no pattern votes, so no further round changes anything
+            break
         miss = F.log(F.greatest(F.lit(1e-9), 1 - F.col("conf")))
         votes = salted_join(edges.where("long").select("pattern", "value"), sure.select("pattern", "conf", "size"), ["pattern"], "size").select("value", "pattern", miss.alias("miss"))
         votes = stash(votes, "votes")
         reached = votes.groupBy("value").agg(F.sum("miss").alias("miss"), F.count("*").alias("k"))
-        reached = reached.join(degree, "value")
+        reached = reached.join(degree.drop("here"), "value")
         own = votes.select("pattern", "value", F.col("miss").alias("own"))
         met = salted_join(edges.where("long").select("pattern", "value"), reached, ["value"], "n_edges").join(own, ["pattern", "value"], "left")
         score = F.when(F.col("k") - F.when(F.col("own").isNull(), 0).otherwise(1) > 0, 1 - F.exp(F.col("miss") - F.coalesce("own", F.lit(0.0)))).otherwise(0.0)
