@@ -15,17 +15,25 @@ THRESHOLD = 5
 CELLS = 72
 
 
-def text_grids(files: DataFrame, documents: DataFrame) -> DataFrame:
-    """hash and a 72-cell grid of each distinct text: tokens counted by the first 16 bits of their md5."""
-    firsts = documents.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("hash")).agg(F.min("doc_id").alias("doc_id"))
-    texts = documents.join(firsts, "doc_id").select("hash", F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("token")).where("token <> ''")
+def text_grids(documents: DataFrame) -> DataFrame:
+    """hash and a 72-cell grid of each distinct text with a token: tokens counted by the first 16 bits of their md5.
+
+    Copies of a text count alike, so its counts are sums over its rows divided by their number,
+    which cell -1 holds. No text is shuffled.
+    """
     cell = F.conv(F.substring(F.md5(F.col("token").cast("binary")), 1, 4), 16, 10).cast("int") % CELLS
-    counts = texts.groupBy("hash", cell.alias("cell")).agg(F.count("*").alias("n"))
-    return counts.groupBy("hash").agg(*[F.coalesce(F.sum(F.when(F.col("cell") == c, F.col("n"))), F.lit(0)).alias(f"c{c}") for c in range(CELLS)]).select("hash", F.array(*[f"c{c}" for c in range(CELLS)]).alias("grid"))
+    tokens = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda t: t != "")
+    texts = documents.select(F.sha2(F.col("text").cast("binary"), 256).alias("hash"), tokens.alias("tokens")).where(F.size("tokens") > 0)
+    rows = texts.select("hash", F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("token"))
+    counts = rows.groupBy("hash", F.when(F.col("token") == "", -1).otherwise(cell).alias("cell")).agg(F.count("*").alias("n"))
+    held = counts.groupBy("hash").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("held"))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: F.coalesce(F.try_element_at("held", c) / F.try_element_at("held", F.lit(-1)), F.lit(0.0)).cast("bigint"))
+    return held.select("hash", grid.alias("grid"))
 
 
 def hashes(grids: DataFrame) -> DataFrame:
-    bits = S.dhash_bits(lambda at: F.get(F.col("grid"), at))
+    # The grid is bound once: a plan that puts its expression in place of the column would work it out for every bit.
+    bits = F.get(F.transform(F.array("grid"), lambda g: S.dhash_bits(lambda at: F.get(g, at))), F.lit(0))
     return grids.select("hash", bits.alias("bits")).where(~S.degenerate(F.col("bits"))).select("hash", "bits", S.hash_hex(F.col("bits")).alias("phash"))
 
 

@@ -323,8 +323,7 @@ placed as (select g.hash, g.root, f.size, row_number() over (partition by g.root
 
 
 def _hashed(s, d):
-    docs = T.read(s, d, "documents")
-    return D.hashes(D.text_grids(T.source_file(s, d), docs))
+    return D.hashes(D.text_grids(T.read(s, d, "documents")))
 
 
 @query("phash_bits", _GRID + "select hash, phash from hashed")
