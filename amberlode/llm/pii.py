@@ -113,6 +113,11 @@ def _most(of: Column) -> Column:
     return F.coalesce(F.array_max(of), F.lit(0).cast("long"))
 
 
+def _count(spans: Column, kind: int) -> Column:
+    # The lambda takes the span alone: filter would fill a second parameter, default or not, with the span's index.
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
 def _matches(text: Column, pattern: str, out) -> Column:
     """Array of out(match, start, gap, hit) at the matches of a pattern, in order; gap(k) and hit(k) give the gaps and matches around, k places on."""
     both = F.struct(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
@@ -232,7 +237,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["s"], x["e"])), ",")
 
     every = F.array_sort(F.concat(F.col("base"), F.coalesce(F.col("more"), F.array().cast("array<struct<s:bigint,kind:int,e:bigint>>"))))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    counts = [_count(F.col("base"), k).alias(f"n_{KINDS[k]}") for k in range(4)]
     return out.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(every).alias("spans"), every.alias("found"), "text_key")
 
 

@@ -89,6 +89,30 @@ def test_lines_and_personal_data_stages_keep_all_rows(plain):
     assert masked[7] == "é ü 你好 🙂 mail <email>" and masked[11] == "<email> " * 2000 and masked[13] == "<phone>, 4111 1111 1111 1111 <ip>" and masked[8] == LONG and masked[1] is None
 
 
+def test_base_kinds_equal_the_contract_in_plain_python(spark):
+    """Counts and digest of rows with several kinds in any order, against the contract's patterns."""
+    import hashlib
+    import random
+    import re
+
+    forms = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def holds(kind, match):
+        d = re.sub("[^0-9]", "", match)
+        twice = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(d))]
+        return {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in match.split(".")), "card": 12 <= len(d) <= 19 and sum(x - 9 * (x > 9) for x in twice) % 10 == 0, "phone": 9 <= len(d) <= 15}[kind]
+
+    r = random.Random(5)
+    atoms = ["a@b.c", "@", ".", "+", "1", "12", "255", "4111 1111 1111 1111", "-", " ", " ", "\n", "é", "🙂", "_", "(", "1.2.3.4", "256.1.1.1", "+1 (555) 555-1234", "x@y-z.org", "w"]
+    texts = ["1.2.3.4", "a@b.c", "+1 (555) 555-1234", "4111 1111 1111 1111", *("".join(r.choices(atoms, k=r.randint(1, 40))) for _ in range(300))]
+    got = {x["doc_id"]: x for x in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    names = list(forms)
+    for i, text in enumerate(texts):
+        spans = sorted((m.start(), names.index(k), m.end()) for k, p in forms.items() for m in re.finditer(p, text) if holds(k, m.group()))
+        assert [got[i][f"n_{k}"] for k in names] == [sum(s[1] == n for s in spans) for n in range(4)]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{names[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest()
+
+
 def test_whole_pipeline_equals_its_parts_in_plain_python(spark, tmp_path):
     """The rules of all stages but the language's in plain Python on a small table."""
     import re
