@@ -16,21 +16,21 @@ one chunk: each position is scored once, in the second chunk of its window, with
 least a chunk of context where there is one. Spellings depend on the word alone and
 are scored once for each distinct word that a portion of rows meets.
 
-The model is fitted on one training row in SHARE, by hash of id and text, at any size
-of the input, in groups of about GROUP rows. Sums over all groups give the frequencies
-of subwords and, by random indexing, the clusters of their documents: each subword has
-a fixed random direction, a document the sum of its subwords', a subword the sum of its
-documents'. The weights are trained in EPOCHS passes over one group, then each group
-goes on from there for one more pass on its own, and their weights are averaged by the
-words that they saw. Only sums by subword and by weight reach the driver, whose
-number does not grow with the input.
+The model learns from every training row, in passes without a shuffle of texts. The
+first sums, over all rows, the frequencies of subwords and, by random indexing, the
+clusters of their documents: each subword has a fixed random direction, a document the
+sum of its subwords', a subword the sum of its documents'. The weights start from EPOCHS
+passes over about START rows. Then each partition goes on from there over all its rows, BLOCK at
+a time, and the weights of all partitions are averaged by the words that they saw. Spellings
+are learned once for each distinct word that a partition meets. Only sums by subword and
+by weight reach the driver, whose number does not grow with the input.
 The counts cover all training rows: each portion of rows sends its distinct words by
 64-bit hash with their counts, counts are summed by word and return to the portions
 that asked, so that texts themselves are never shuffled.
 
 Null texts count as empty and consist of the end token. Repeated rows are scored
 and counted row by row. Texts of any length are scored whole. Without training
-rows all counts are 0, and without any of the share the model is untrained. An empty table gives an empty
+rows all counts are 0 and the model is untrained. An empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, documents, stash, texts, tidied
 
 FOLDS, HELD_OUT = 7, 2
-SHARE, GROUP = 16, 512
+START, BLOCK = 512, 512
 EPOCHS = 3
 DIRECTIONS = 32
 WIDTH, CHUNK = 16, 16
@@ -175,11 +175,15 @@ class Model:
             out[lo : lo + batch] = (got if leads else got + self.rest_share[flat]).reshape(w.shape)
         return out
 
-    def train(self, parts: list[tuple[np.ndarray | None, np.ndarray, np.ndarray, bool]], epochs: int = EPOCHS, batch: int = 128, rate: float = 0.01, seed: int = 11) -> None:
-        """parts: chunks before (if any), now and wanted of one width, and whether the goals are first subwords. Batches hold about as many places at any width."""
+    def train(self, parts: list[tuple[np.ndarray | None, np.ndarray, np.ndarray, bool]], epochs: int = EPOCHS, batch: int = 128, rate: float = 0.01, seed: int = 11, moments: tuple | None = None) -> tuple:
+        """parts: chunks before (if any), now and wanted of one width, and whether the goals are first subwords. Batches hold about as many places at any width.
+
+        Gives back the moments of the gradients and the number of steps, with which a later call goes on.
+        """
         p, r = self.p, np.random.default_rng(seed)
-        m, s = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
-        step, root = 0, np.float32(np.sqrt(WIDTH))
+        m, s, step = moments or ({k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0)
+        root = np.float32(np.sqrt(WIDTH))
+        outer = lambda x, y: x.reshape(-1, x.shape[-1]).T @ y.reshape(-1, y.shape[-1])
         for _ in range(epochs):
             turns = []
             for part in parts:
@@ -210,19 +214,20 @@ class Model:
                 np.put_along_axis(o, aim, np.take_along_axis(o, aim, 2) - 1, 2)
                 o *= (real / max(1.0, real.sum()))[..., None]
                 grad = {"o": np.zeros_like(p["o"]), "b": np.zeros_like(p["b"])}
-                grad["o"][:, here], grad["b"][here] = np.tensordot(g, o, ((0, 1), (0, 1))), o.sum((0, 1))
+                grad["o"][:, here], grad["b"][here] = outer(g, o), o.sum((0, 1))
                 dh = (o @ p["o"][:, here].T) * (h > 0)
-                grad["r"] = np.tensordot(eq, dh, ((0, 1), (0, 1)))
+                grad["r"] = outer(eq, dh)
                 da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
                 da = a * (da - (da * a).sum(2, keepdims=True))
                 grad["d"] = np.bincount(back.ravel(), (da.sum(0) * causal).ravel(), 2 * CHUNK).astype(np.float32)
                 dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-                grad |= {"q": np.tensordot(eq, dq, ((0, 1), (0, 1))) / root, "k": np.tensordot(e, dk, ((0, 1), (0, 1))), "v": np.tensordot(e, dv, ((0, 1), (0, 1)))}
+                grad |= {"q": outer(eq, dq) / root, "k": outer(e, dk), "v": outer(e, dv)}
                 de = dk @ p["k"].T + dv @ p["v"].T
                 de[:, -width:] += dq @ p["q"].T / root + dh @ p["r"].T
-                ids, inverse = np.unique(keys, return_inverse=True)
-                ge = np.zeros((len(ids), WIDTH), np.float32)
-                np.add.at(ge, inverse.ravel(), de.reshape(-1, WIDTH))
+                flat = keys.ravel()
+                order = np.argsort(flat, kind="stable")
+                ids, first = np.unique(flat[order], return_index=True)
+                ge = np.add.reduceat(de.reshape(-1, WIDTH)[order], first)
                 step += 1
                 fix = np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
                 for name, d in grad.items():
@@ -232,7 +237,7 @@ class Model:
                 m["e"][ids] += 0.1 * (ge - m["e"][ids])
                 s["e"][ids] += 0.01 * (ge * ge - s["e"][ids])
                 p["e"][ids] -= (rate * fix * m["e"][ids] / (np.sqrt(s["e"][ids]) + 1e-8)).astype(np.float32)
-        self.tables()
+        return m, s, step
 
 
 def chunks(model: Model, goals: np.ndarray, lengths: np.ndarray, first: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -329,82 +334,113 @@ def _words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def groups(docs: DataFrame) -> tuple[DataFrame, int]:
-    """text and group of one training row in SHARE, and the number of groups."""
-    picked = docs.where((crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARE)) == 0))
-    picked = stash(picked.select("text", F.monotonically_increasing_id().alias("row")), "share")
-    n = max(1, -(-picked.count() // GROUP))
-    return picked.select("text", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias("group")), n
+def training(docs: DataFrame) -> DataFrame:
+    """The rows to learn from."""
+    return docs.where(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
+
+
+class Lexicon(Words):
+    """The subwords of each distinct word met, by its number."""
+
+    def __init__(self, enc: tiktoken.Encoding):
+        super().__init__(enc)
+        self.subs: list[list[int]] = []
+
+    def spell(self) -> None:
+        new = self.subwords(self.fresh)
+        self.subs += new
+        self.lead = np.concatenate([self.lead, np.array([x[0] for x in new], np.int64)])
+        self.fresh = []
 
 
 class Sequences:
-    """The words of some texts as sequences of subwords: a text's first subwords, then each distinct word's further ones."""
+    """The words of some texts as sequences of subwords: a text's first subwords, then the further ones of each word that the lexicon had not met."""
 
-    def __init__(self, rows: list[str], vocabulary: str, pattern: str):
-        words = Words(encoding(vocabulary, pattern))
+    def __init__(self, rows: list[str], words: Lexicon):
+        known = len(words)
         self.at = [np.fromiter(map(words.__getitem__, x), np.int64, len(x)) for x in map(_words, rows)]
-        self.n_ids = words.enc.max_token_value + 1
-        self.subs = words.subwords(list(words))
-        self.lead = np.array([x[0] for x in self.subs], np.int64)
-
-    def goals(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """Goals of all sequences, their sizes and first inputs, and the number of those that are texts."""
-        goals, sizes, firsts = [], [], []
-        for x in self.at:
-            goals += [*self.lead[x], self.n_ids + 2]
-            sizes.append(len(x) + 1)
-            firsts.append(self.n_ids + 1)
-        for s in self.subs:
-            goals += [*s[1:], self.n_ids + 3]
-            sizes.append(len(s))
-            firsts.append(s[0])
-        return np.array(goals, np.int64), np.array(sizes, np.int64), np.array(firsts, np.int64), len(self.at)
-
-    def statistics(self) -> dict[str, np.ndarray]:
-        """By id: counts as first and as further subword, documents that hold it as such, and the sum of their directions."""
-        total = self.n_ids + SPECIAL
-        goals, sizes, _, texts_ = self.goals()
-        split = int(sizes[:texts_].sum())
-        way, out = directions(total), {"leads": np.bincount(goals[:split], minlength=total), "rests": np.bincount(goals[split:], minlength=total)}
-        for name in ("lead", "rest"):
-            out[f"{name}_docs"], out[f"{name}_way"] = np.zeros(total, np.int64), np.zeros((total, DIRECTIONS))
+        words.spell()
+        self.words, self.new, self.n_ids = words, words.subs[known:], words.enc.max_token_value + 1
+
+    def texts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Goals and sizes of the texts."""
+        sizes = np.array([len(x) + 1 for x in self.at], np.int64)
+        goals = np.full(int(sizes.sum()), self.n_ids + 2, np.int64)
+        inner = np.ones(len(goals), bool)
+        inner[np.cumsum(sizes) - 1] = False
+        if self.at:
+            goals[inner] = self.words.lead[np.concatenate(self.at)]
+        return goals, sizes
+
+    def spellings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Goals, sizes and first inputs of the new words."""
+        goals = np.array([i for x in self.new for i in (*x[1:], self.n_ids + 3)], np.int64)
+        return goals, np.array([len(x) for x in self.new], np.int64), np.array([x[0] for x in self.new], np.int64)
+
+    def count(self, into: dict[str, np.ndarray], way: np.ndarray) -> None:
+        """Add, by id: counts as first and as further subword, documents that hold it as such, and the sum of their directions."""
+        total = len(way)
+        into["leads"][:, 0] += np.bincount(self.texts()[0], minlength=total)
+        into["rests"][:, 0] += np.bincount(self.spellings()[0], minlength=total)
+        lead_of, subs = self.words.lead, self.words.subs
         for x in self.at:
             own = np.unique(x)
-            lead = np.unique(self.lead[own])
-            rest = np.unique(np.array([i for w in own for i in self.subs[w][1:]], np.int64))
+            lead = np.unique(lead_of[own])
+            rest = np.unique(np.array([i for w in own.tolist() for i in subs[w][1:]], np.int64))
             doc = way[lead].sum(0)
             doc /= max(1e-12, float(np.sqrt(doc @ doc)))
             for name, ids in (("lead", lead), ("rest", rest)):
-                out[f"{name}_docs"][ids] += 1
-                out[f"{name}_way"][ids] += doc
-        return out
+                into[f"{name}_docs"][ids] += 1
+                into[f"{name}_way"][ids] += doc
 
-    def train(self, model: Model, **how) -> None:
-        goals, sizes, firsts, texts_ = self.goals()
-        split = int(sizes[:texts_].sum())
+    def train(self, model: Model, **how) -> tuple | None:
         parts = []
-        if texts_:
-            parts.append((*chunks(model, goals[:split], sizes[:texts_], firsts[:texts_])[:3], True))
-        if len(sizes) > texts_:
-            parts += [(before, now, want, False) for before, now, want, _, _ in _spellings(model, firsts[texts_:], goals[split:], sizes[texts_:])]
-        if parts:
-            model.train(parts, **how)
+        if self.at:
+            parts.append((*chunks(model, *self.texts(), model.begin)[:3], True))
+        if self.new:
+            goals, sizes, firsts = self.spellings()
+            parts += [(before, now, want, False) for before, now, want, _, _ in _spellings(model, firsts, goals, sizes)]
+        return model.train(parts, **how) if parts else how.get("moments")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], enc: tiktoken.Encoding) -> Iterator[Sequences]:
+    """All texts of a partition, BLOCK rows or PORTION_BYTES characters at a time; the lexicon begins anew where it grows too large."""
+    words, rows, weight = Lexicon(enc), [], 0
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            rows.append(text)
+            weight += len(text)
+            if len(rows) >= BLOCK or weight >= PORTION_BYTES:
+                yield Sequences(rows, words)
+                rows, weight = [], 0
+                if len(words) > KEEP_WORDS:
+                    words = Lexicon(enc)
+    if rows:
+        yield Sequences(rows, words)
 
 
 def fit(docs: DataFrame, vocabulary: str, pattern: str) -> Model:
     """Model of the training rows of docs(doc_id, text)."""
     spark = docs.sparkSession
-    picked, n = groups(docs)
-    n_ids = encoding(vocabulary, pattern).max_token_value + 1
+    docs = training(docs)
+    n = docs.count()
+    enc = encoding(vocabulary, pattern)
+    n_ids = enc.max_token_value + 1
     total = n_ids + SPECIAL
     kinds = [("leads", 1), ("rests", 1), ("lead_docs", 1), ("rest_docs", 1), ("lead_way", DIRECTIONS), ("rest_way", DIRECTIONS)]
     arrow = pa.schema([("id", pa.int64()), ("x", pa.list_(pa.float64()))])
 
-    def count(rows: pa.Table) -> pa.Table:
-        stats = Sequences(rows.column("text").to_pylist(), vocabulary, pattern).statistics()
-        flat = np.concatenate([stats[k].reshape(total, -1).astype(float) for k, _ in kinds], 1)
-        ids = np.flatnonzero(flat[:, :4].any(1))
-        return pa.table({"id": ids, "x": list(flat[ids])}, schema=arrow)
+    def table(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        ends = np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel())).cast(pa.list_(pa.float64()))], schema=arrow)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, way = {k: np.zeros((total, w)) for k, w in kinds}, directions(total)
+        for seqs in _blocks(batches, encoding(vocabulary, pattern)):
+            seqs.count(sums, way)
+        ids = np.flatnonzero(sum(sums[k][:, 0] for k in ("leads", "rests", "lead_docs", "rest_docs")))
+        for lo in range(0, len(ids), 4096):
+            yield table(ids[lo : lo + 4096], np.concatenate([sums[k][ids[lo : lo + 4096]] for k, _ in kinds], 1))
 
     def summed(rows: DataFrame, width: int) -> np.ndarray:
         """Sums of x by id; a row for each id reaches the driver."""
@@ -414,30 +450,31 @@ def fit(docs: DataFrame, vocabulary: str, pattern: str) -> Model:
         return out
 
     wide = 4 + 2 * DIRECTIONS
-    sums = summed(picked.groupBy("group").applyInArrow(count, "id long, x array<double>"), wide)
+    sums = summed(docs.select("text").mapInArrow(tidied(count), "id long, x array<double>"), wide)
     model = Model(n_ids, sums[:, 0], sums[:, 1], topics(sums[:, 2], sums[:, 4 : 4 + DIRECTIONS]), topics(sums[:, 3], sums[:, 4 + DIRECTIONS :]))
-    start = Sequences([r["text"] for r in picked.where("group = 0").orderBy(F.xxhash64("text"), "text").limit(GROUP).collect()], vocabulary, pattern)
-    start.train(model)
+    dealt = F.xxhash64("doc_id", "text")
+    first = docs.where(F.pmod(dealt, F.lit(max(1, n // START))) == 0).orderBy(dealt, "text").limit(START).select("text").collect()
+    Sequences([r["text"] for r in first], Lexicon(enc)).train(model)
     model.tables()
-    if n > 1:
+    if n > START:
         small = sorted(k for k in model.p if k != "e")
         held = spark.sparkContext.broadcast(model)
-        parts = pa.schema([("id", pa.int64()), ("x", pa.list_(pa.float64()))])
 
-        def go_on(rows: pa.Table) -> pa.Table:
-            own = copy.deepcopy(held.value)
-            seqs = Sequences(rows.column("text").to_pylist(), vocabulary, pattern)
-            seqs.train(own, epochs=1, rate=0.003)
-            words = float(sum(map(len, seqs.at)))
+        def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, moments, words = copy.deepcopy(held.value), None, 0.0
+            for seqs in _blocks(batches, encoding(vocabulary, pattern)):
+                moments = seqs.train(own, epochs=1, batch=512, rate=0.003, moments=moments)
+                words += sum(len(x) + 1 for x in seqs.at)
+            if not words:
+                return
             moved = np.flatnonzero((own.p["e"] != held.value.p["e"]).any(1))
-            rows_out = [np.append(own.p["e"][i] * words, words) for i in moved]
             # Other weights travel in rows as wide as an embedding, numbered below zero.
             flat = np.concatenate([own.p[k].ravel() for k in small]).astype(float)
             flat = np.pad(flat, (0, -len(flat) % WIDTH)).reshape(-1, WIDTH)
-            ids = [*moved.tolist(), *(-1 - i for i in range(len(flat)))]
-            return pa.table({"id": ids, "x": [*rows_out, *(np.append(x * words, words) for x in flat)]}, schema=parts)
+            ids, x = np.concatenate([moved, -1 - np.arange(len(flat))]), np.concatenate([own.p["e"][moved].astype(float), flat]) * words
+            yield table(ids, np.concatenate([x, np.full((len(x), 1), words)], 1))
 
-        gone = picked.groupBy("group").applyInArrow(go_on, "id long, x array<double>")
+        gone = docs.select("text").mapInArrow(tidied(go_on), "id long, x array<double>")
         sums_ = gone.groupBy("id").agg(*[F.sum(F.get("x", F.lit(k))).alias(f"x{k}") for k in range(WIDTH + 1)]).toPandas()
         ids, x = sums_["id"].to_numpy(np.int64), sums_.drop(columns="id").to_numpy(float)
         x = (x[:, :WIDTH] / np.maximum(x[:, WIDTH:], 1e-12)).astype(np.float32)

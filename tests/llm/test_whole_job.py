@@ -3,9 +3,11 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from amberlode.llm import html, pii
+from amberlode.llm import attention_lm, html, pii
+from amberlode.llm.common import crc_mod
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -129,3 +131,14 @@ def test_stage_removes_spread_lines_from_all_but_copies(spark):
     texts = [f"{spread}\nown words {i}" for i in range(12)] + [f"{spread}\n{spread}" for _ in range(12)]
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, rows_of(spark, texts, [f"s{i % 12}" for i in range(24)]), "").collect()}
     assert got == {i: f"own words {i}" if i < 12 else t for i, t in enumerate(texts)}
+
+
+def test_language_model_learns_from_every_training_row(spark):
+    """A row that no share of 1 in 16 would take, beyond the rows that the weights start from, still changes the model."""
+    rows = [(i, f"alpha beta w{i % 9} gamma") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    train = docs.where((crc_mod(F.col("doc_id"), 7) != 2) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(16)) != 0))
+    last = train.where(F.pmod(F.xxhash64("doc_id", F.lit("alpha zebra zebra gamma")), F.lit(16)) != 0).orderBy(F.desc(F.xxhash64("doc_id", "text"))).first()["doc_id"]
+    other = spark.createDataFrame([(i, "alpha zebra zebra gamma" if i == last else t) for i, t in rows], "doc_id long, text string").coalesce(1)
+    one, two = (attention_lm.fit(d, *attention_lm.public_vocabulary()) for d in (docs, other))
+    assert any((one.p[k] != two.p[k]).any() for k in one.p) and (one.lead_share != two.lead_share).any()
