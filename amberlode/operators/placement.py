@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.semantics import parse_size, placement_score
@@ -38,6 +39,23 @@ def _best(k: int, require_offline: bool) -> Column:
     return F.when(swap, F.concat(F.slice("drives", 1, k - 1), F.slice(rest, 1, 1))).otherwise(picked)
 
 
+RANGE_CHARS = 3
+
+
+def used_running(plan_rows: DataFrame) -> DataFrame:
+    """replica, hash, used: the bytes planned for a replica up to each hash, in hash order; equal hashes count together.
+
+    A window runs over a replica's hashes that share their first RANGE_CHARS characters, and the sums of the
+    ranges before are added. The ranges are 4,096 for each replica at any size of the input, and hashes fall evenly on them.
+    """
+    rows = plan_rows.select("replica", "hash", "size", F.coalesce(F.substring("hash", 1, RANGE_CHARS), F.lit("")).alias("range"))
+    sums = rows.groupBy("replica", "range").agg(F.sum("size").alias("bytes"))
+    ahead = F.sum("bytes").over(W.partitionBy("replica").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select("replica", "range", ahead.alias("ahead"))
+    within = rows.withColumn("within", F.sum("size").over(W.partitionBy("replica", "range").orderBy("hash")))
+    return within.join(F.broadcast(sums), ["replica", "range"]).select("replica", "hash", F.coalesce(F.col("ahead") + F.col("within"), "within", "ahead").alias("used"))
+
+
 def plan_stats(plan_rows: DataFrame) -> DataFrame:
     return plan_rows.groupBy("replica").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
