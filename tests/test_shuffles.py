@@ -1,9 +1,28 @@
-"""What large tables move: running sums by ranges."""
+"""What large tables move: keys of orders rather than hashes, and running sums by ranges."""
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from amberlode.operators import placement
+from amberlode.plans import catalog_queries as Q
+from amberlode.sources import tables
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_scrubs_name_hashes_after_the_last_shuffle(spark):
+    for name in ("scrub_outcomes", "scrub_marks_verified"):
+        plan = Q.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert 0 <= plan.rfind("sha2(") < plan.find("Exchange")
+
+
+def test_views_by_key_equal_the_named_ones(spark):
+    placed, held = tables.placement_by_key(spark, DATA), tables.disk_by_key(spark, DATA)
+    assert placed.schema["hash"].dataType.simpleString() == held.schema["actual"].dataType.simpleString() == "bigint"
+    assert sorted(map(str, tables.named(placed).collect())) == sorted(map(str, tables.placement(spark, DATA).collect()))
+    say = F.when(F.col("actual") == F.col("hash"), "right").when(F.col("actual").isNotNull(), "wrong")
+    rows = [d.withColumn("actual", say) for d in (held, tables.disk(spark, DATA))]
+    assert sorted(map(str, tables.named(rows[0]).collect())) == sorted(map(str, rows[1].collect()))
 
 
 def test_running_sums_by_ranges_equal_one_window(spark):
