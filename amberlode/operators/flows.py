@@ -140,11 +140,15 @@ def purge(due: DataFrame, replicas: DataFrame) -> DataFrame:
     return rows.select("hash", "size", F.when(F.col("away") == "", "purged").otherwise("skipped").alias("outcome"), F.nullif(F.col("away"), F.lit("")).alias("blocked_by"))
 
 
-def redate(weak: DataFrame, found: DataFrame) -> DataFrame:
-    """hash, old_path, new_path, captured_at, source, outcome (moved or unchanged) for weakly dated assets with a better date found (hash, at, label)."""
-    one = found.where(F.col("at").isNotNull()).groupBy("hash").agg(F.min(F.struct("at", "label")).alias("x"))
-    rows = weak.select("hash", "rel_path", "ext").join(one, "hash")
-    rows = rows.select("hash", F.col("rel_path").alias("old_path"), S.canonical_path(F.col("hash"), F.col("x.at"), F.col("ext")).alias("new_path"), F.col("x.at").alias("captured_at"), F.col("x.label").alias("source"))
+def redate(weak: DataFrame, found: DataFrame, key: str = "hash") -> DataFrame:
+    """hash, old_path, new_path, captured_at, source, outcome (moved or unchanged) for weakly dated assets with a better date found (hash, at, label).
+
+    Where another column says which asset is meant, key names it; it comes first in the result.
+    """
+    names = list(dict.fromkeys([key, "hash"]))
+    one = found.where(F.col("at").isNotNull()).groupBy(key).agg(F.min(F.struct("at", "label")).alias("x"))
+    rows = weak.select(*names, "rel_path", "ext").join(one, key)
+    rows = rows.select(*names, F.col("rel_path").alias("old_path"), S.canonical_path(F.col("hash"), F.col("x.at"), F.col("ext")).alias("new_path"), F.col("x.at").alias("captured_at"), F.col("x.label").alias("source"))
     return rows.withColumn("outcome", F.when(F.col("old_path") == F.col("new_path"), "unchanged").otherwise("moved"))
 
 

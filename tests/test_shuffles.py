@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from amberlode.operators import placement
+from amberlode.operators import flows, placement
 from amberlode.plans import catalog_queries as Q
 from amberlode.sources import tables
 
@@ -25,6 +25,13 @@ def test_views_by_key_equal_the_named_ones(spark):
     assert sorted(map(str, tables.named(rows[0]).collect())) == sorted(map(str, rows[1].collect()))
 
 
+def test_redate_by_another_key(spark):
+    weak = spark.createDataFrame([(1, "aaaaaaaaaaaa", "old/1.jpg", "jpg"), (2, "bbbbbbbbbbbb", "old/2.jpg", "jpg")], "k long, hash string, rel_path string, ext string")
+    found = spark.sql("select * from values (1L, timestamp_ntz'2001-02-03 04:05:06', 'exif'), (2L, null, null) as t(k, at, label)")
+    got = flows.redate(weak, found, "k").collect()
+    assert [(r["k"], r["hash"], r["new_path"], r["outcome"]) for r in got] == [(1, "aaaaaaaaaaaa", "2001/02/20010203-040506_aaaaaaaaaa.jpg", "moved")]
+
+
 def test_running_sums_by_ranges_equal_one_window(spark):
     hashes = F.sha2((F.col("id") % 700).cast("string").cast("binary"), 256)
     rows = spark.range(2000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("replica"), hashes.alias("hash"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("size"), F.lit(1).alias("rank"))
