@@ -7,14 +7,16 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HEAVY = 1000
 SALTS = 64
+FEW_EDGES = 1 << 20
 
 _LOCAL: list[str] = []
 _STASHED: list[str] = []
@@ -137,15 +139,40 @@ def crc_mod(of: Column, by: int) -> Column:
     return F.crc32(F.coalesce(of.cast("string"), F.lit("")).cast("binary")) % F.lit(by)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and root of the graph whose edges (a, b) all come to this one task."""
+    held = [(np.asarray(x.column(0)), np.asarray(x.column(1))) for x in batches]
+    if not held:
+        return
+    ends = np.concatenate([np.concatenate(x) for x in zip(*held, strict=True)])
+    nodes, at = np.unique(ends, return_inverse=True)
+    a, b = np.split(at, 2)
+    root = np.arange(len(nodes))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+        a, b = root[a], root[b]
+        a, b = a[apart := a != b], b[apart]
+    for lo in range(0, len(nodes), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[lo : lo + 100_000]), pa.array(nodes[root[lo : lo + 100_000]])], names=["node", "root"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", few: int = FEW_EDGES) -> DataFrame:
     """(node, root) for every node of an undirected graph of long ids; root is the component's smallest id.
 
-    Each round hooks the parents of both ends of every edge onto the smaller of
+    At most few edges are united by one task on an executor, in 16 bytes an edge and a
+    few times that; a larger graph takes rounds of joins, each of which leaves plans, threads
+    and code behind in the driver. Each round hooks the parents of both ends of every edge onto the smaller of
     their parents and then halves the paths, so rounds grow with the logarithm of
     a chain's length. Tables are written between rounds; nothing is collected but
     a count of changes.
     """
     e = stash(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct(), "edges")
+    if e.count() <= few:
+        lab = stash(e.coalesce(1).mapInArrow(_united, "node long, root long"), "roots")
+        discard(e)
+        return lab
     ends = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near")))
     first = e.select(F.explode(ends).alias("e")).select("e.*").groupBy("node").agg(F.min("near").alias("near"))
     lab = stash(first.select("node", F.least("node", "near").alias("root")), "roots")

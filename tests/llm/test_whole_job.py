@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from amberlode.llm import attention_lm, html, pii
-from amberlode.llm.common import crc_mod
+from amberlode.llm.common import components, crc_mod
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -142,3 +142,25 @@ def test_language_model_learns_from_every_training_row(spark):
     other = spark.createDataFrame([(i, "alpha zebra zebra gamma" if i == last else t) for i, t in rows], "doc_id long, text string").coalesce(1)
     one, two = (attention_lm.fit(d, *attention_lm.public_vocabulary()) for d in (docs, other))
     assert any((one.p[k] != two.p[k]).any() for k in one.p) and (one.lead_share != two.lead_share).any()
+
+
+def test_components_of_a_small_graph_cost_the_driver_few_jobs(spark):
+    r = np.random.default_rng(4)
+    pairs = [(i * 7, i * 7 + 7) for i in range(300)] + [(10**12 + int(a), 10**12 + int(b)) for a, b in r.integers(0, 400, (300, 2))] + [(-5, 3), (3, 3), (-5, 3), (10**6, 10**6)]
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        new = root.copy()
+        for a, b in pairs:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == root:
+            break
+        root = new
+    want = {x: y for x, y in root.items() if any(x in p and p[0] != p[1] for p in pairs)}
+    edges, context = spark.createDataFrame(pairs, "a long, b long"), spark.sparkContext
+    context.setJobGroup("united", "")
+    got = components(edges)
+    jobs = len(context.statusTracker().getJobIdsForGroup("united"))
+    context.setJobGroup("other", "")
+    assert {r["node"]: r["root"] for r in got.collect()} == want and got.count() == len(want) and jobs <= 6
+    assert {r["node"]: r["root"] for r in components(edges, few=10).collect()} == want
+    assert components(edges.where("a = b")).count() == 0
