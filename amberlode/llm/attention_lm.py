@@ -16,15 +16,18 @@ one chunk: each position is scored once, in the second chunk of its window, with
 least a chunk of context where there is one. Spellings depend on the word alone and
 are scored once for each distinct word that a portion of rows meets.
 
+Texts are read and cut into words and subwords once. What the later passes read is a row
+for each portion of rows, with its distinct words and their places in its texts.
+
 The model learns from every training row, in passes without a shuffle of texts. The
 first sums, over all rows, the frequencies of subwords and, by random indexing, the
 clusters of their documents: each subword has a fixed random direction, a document the
 sum of its subwords', a subword the sum of its documents'. The weights start from EPOCHS
-passes over about START rows. Then each partition goes on from there over all its rows, BLOCK at
+passes over about START rows. Then each partition goes on from there over all its rows, a portion at
 a time, and the weights of all partitions are averaged by the words that they saw. Spellings
-are learned once for each distinct word that a partition meets. Only sums by subword and
-by weight reach the driver, whose number does not grow with the input.
-The counts cover all training rows: each portion of rows sends its distinct words by
+are learned once for each distinct word of all training rows, by the first portion that holds it. Only
+sums by subword and by weight reach the driver, whose number does not grow with the input.
+The counts cover all training rows: each portion sends its distinct words by
 64-bit hash with their counts, counts are summed by word and return to the portions
 that asked, so that texts themselves are never shuffled.
 
@@ -48,11 +51,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents, stash, texts, tidied
+from .common import crc_mod, discard, documents, stash, texts, tidied
 
 FOLDS, HELD_OUT = 7, 2
-START, BLOCK = 512, 512
+START = 512
 EPOCHS = 3
+MOST = np.float32(60)  # scores are cut here, which needs no pass for their maximum
 DIRECTIONS = 32
 WIDTH, CHUNK = 16, 16
 TOPICS, BINS = 7, 4
@@ -60,7 +64,6 @@ RARE, END = TOPICS * BINS, TOPICS * BINS + 1  # classes of first subwords beside
 LEADS = END + 1
 CLASSES = LEADS + 64
 SHORT = (2, 4, 8, 16)
-BATCH = 2048
 PORTION_DOCS, PORTION_BYTES = 4096, 12_000_000
 KEEP_WORDS = 250_000
 SPECIAL = 4  # pad, begin, end of text, end of word follow the vocabulary
@@ -110,6 +113,16 @@ def topics(seen: np.ndarray, sums: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums along the last axis, which stays, by one product."""
+    return (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], np.float32)).reshape(*x.shape[:-1], 1)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.flatnonzero(np.diff(x, prepend=x[:1] - 1))]
+
+
 class Model:
     """Parameters and the tables of projected embeddings made from them."""
 
@@ -139,107 +152,145 @@ class Model:
         i, j = np.arange(CHUNK)[:, None] + CHUNK, np.arange(2 * CHUNK)[None, :]
         self.back, self.causal = np.clip(i - j, 0, 2 * CHUNK - 1), j <= i
 
+    def joint(self) -> np.ndarray:
+        """Projections of an embedding to query, key, value and residual, side by side."""
+        return np.concatenate([self.p["q"] / np.float32(np.sqrt(WIDTH)), self.p["k"], self.p["v"], self.p["r"]], 1)
+
     def tables(self) -> None:
-        p = self.p
-        self.tq, self.tk, self.tv, self.tr = ((p["e"] @ p[x]).astype(np.float32) for x in "qkvr")
-        self.tq /= np.float32(np.sqrt(WIDTH))
-        self.bias = np.where(self.causal, p["d"][self.back], -1e9).astype(np.float32)
-        self.shut = np.zeros(len(p["e"]), np.float32)
-        self.shut[self.pad] = -1e9
+        self.table = self.p["e"] @ self.joint()
+
+    def attend(self, z: np.ndarray, ids: np.ndarray, first: np.ndarray | None) -> tuple:
+        """Attention weights of projected inputs z, with the queries, keys, values and residuals that they come from.
+
+        first: which chunks begin a sequence, where ids has one chunk more, before the others,
+        and each chunk but those sees the one before it; None where chunks stand alone.
+        """
+        width, total = ids.shape[1], len(ids) * ids.shape[1]
+        z = z.reshape(len(ids), width, 4 * WIDTH)
+        shut = np.where(ids == self.pad, np.float32(-1e9), np.float32(0))
+        if first is None:
+            q, k, v, r = (z[:, :, i * WIDTH : (i + 1) * WIDTH] for i in range(4))
+            bias = self.bias[:width, CHUNK : CHUNK + width]
+        else:
+            n, flat = len(ids) - 1, z.reshape(total, -1)
+            k, v = (np.lib.stride_tricks.as_strided(flat[:, i * WIDTH :], (n, 2 * width, WIDTH), (width * flat.strides[0], *flat.strides)) for i in (1, 2))
+            q, r = z[1:, :, :WIDTH], z[1:, :, 3 * WIDTH :]
+            shut = np.concatenate([np.where(first[:, None], np.float32(-1e9), shut[:-1]), shut[1:]], 1)
+            bias = self.bias
+        a = q @ k.transpose(0, 2, 1)
+        a += bias
+        a += shut[:, None, :]
+        np.minimum(a, MOST, out=a)
+        np.exp(a, out=a)
+        a /= np.maximum(_sums(a), np.float32(1e-30))
+        return a, q, k, v, r
 
     def score(self, before: np.ndarray | None, now: np.ndarray, want: np.ndarray, leads: bool = False) -> np.ndarray:
         """Natural log probability of want (chunks, width) given the input chunks now and the chunks before them, if any: of its class for leads, else of its id."""
         part = slice(0, LEADS) if leads else slice(LEADS, CLASSES)
         cls = self.lead_class if leads else self.rest_class - LEADS
         to, base = np.ascontiguousarray(self.p["o"][:, part]), self.p["b"][part]
-        out, width = np.empty(want.shape), now.shape[1]
-        back = 0 if before is None else width
-        bias = self.bias[:width, CHUNK - back : CHUNK + width]
-        batch = BATCH * CHUNK // width
+        self.bias = np.where(self.causal, self.p["d"][self.back], np.float32(-1e9))
+        out, batch = np.empty(want.shape), 512 * CHUNK // now.shape[1]
         for lo in range(0, len(now), batch):
-            w, here = want[lo : lo + batch], now[lo : lo + batch]
-            keys = here if before is None else np.concatenate([before[lo : lo + batch], here], 1)
-            a = self.tq[here] @ self.tk[keys].transpose(0, 2, 1)
-            a += bias
-            a += self.shut[keys][:, None, :]
-            a -= np.maximum(a.max(2, keepdims=True), np.float32(-1e8))
-            np.exp(a, out=a)
-            weight = a.sum(2, keepdims=True)
-            h = a @ self.tv[keys] / np.maximum(weight, np.float32(1e-30)) + self.tr[here]
-            o = np.maximum(h, 0).reshape(-1, WIDTH) @ to + base
-            o -= o.max(1, keepdims=True)
-            flat = w.ravel()
+            ids, first = _run(self, before, now, lo, lo + batch)
+            a, _, _, v, r = self.attend(self.table.take(ids.ravel(), 0), ids, first)
+            h = a @ v
+            h += r
+            o = np.maximum(h, 0).reshape(-1, WIDTH) @ to
+            o += base
+            np.clip(o, -MOST, MOST, out=o)
+            flat = want[lo : lo + batch].ravel()
             hit = o[np.arange(len(flat)), np.maximum(cls[flat], 0)]
             np.exp(o, out=o)
-            got = hit - np.log(o.sum(1))
-            out[lo : lo + batch] = (got if leads else got + self.rest_share[flat]).reshape(w.shape)
+            got = hit - np.log(_sums(o)[:, 0])
+            out[lo : lo + batch] = (got if leads else got + self.rest_share[flat]).reshape(-1, now.shape[1])
         return out
 
     def train(self, parts: list[tuple[np.ndarray | None, np.ndarray, np.ndarray, bool]], epochs: int = EPOCHS, batch: int = 128, rate: float = 0.01, seed: int = 11, moments: tuple | None = None) -> tuple:
-        """parts: chunks before (if any), now and wanted of one width, and whether the goals are first subwords. Batches hold about as many places at any width.
+        """parts: chunks before (if any), now and wanted of one width, and whether the goals are first subwords. Batches are runs of chunks and hold about as many places at any width.
 
         Gives back the moments of the gradients and the number of steps, with which a later call goes on.
         """
         p, r = self.p, np.random.default_rng(seed)
         m, s, step = moments or ({k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0)
         root = np.float32(np.sqrt(WIDTH))
-        outer = lambda x, y: x.reshape(-1, x.shape[-1]).T @ y.reshape(-1, y.shape[-1])
+        narrow = np.uint16 if len(p["e"]) <= 1 << 16 else np.int64  # short ids are sorted faster
         for _ in range(epochs):
             turns = []
             for part in parts:
-                order, size = r.permutation(len(part[1])), batch * CHUNK // part[1].shape[1]
-                turns += [(part, order[lo : lo + size]) for lo in range(0, len(order), size)]
+                size = batch * CHUNK // part[1].shape[1]
+                turns += [(part, lo, lo + size) for lo in range(0, len(part[1]), size)]
             for turn in r.permutation(len(turns)):
-                (before, now, want, leads), at = turns[turn]
-                width = now.shape[1]
-                keys = now[at] if before is None else np.concatenate([before[at], now[at]], 1)
-                place = (slice(0, width), slice(CHUNK if before is None else 0, CHUNK + width))
-                back, causal = self.back[place], self.causal[place]
+                (before, now, want, leads), lo, hi = turns[turn]
+                ids, first = _run(self, before, now, lo, hi)
+                width, back = now.shape[1], 0 if first is None else 1
                 here = slice(0, LEADS) if leads else slice(LEADS, CLASSES)
-                goal = want[at]
-                aim = (self.lead_class if leads else self.rest_class - LEADS)[goal][..., None]
-                aim = np.where((goal == self.pad)[..., None], 0, aim)
-                real = (goal != self.pad).astype(np.float32)
-                e = p["e"][keys]
-                eq = e[:, -width:]
-                q, k, v = eq @ p["q"] / root, e @ p["k"], e @ p["v"]
-                a = q @ k.transpose(0, 2, 1) + np.where(causal, p["d"][back], np.float32(-1e9)) + np.where(keys == self.pad, np.float32(-1e9), np.float32(0))[:, None, :]
-                a = np.exp(a - np.maximum(a.max(2, keepdims=True), -1e8))
-                a /= np.maximum(a.sum(2, keepdims=True), 1e-30)
-                h = a @ v + eq @ p["r"]
+                goal = want[lo:hi].ravel()
+                real = goal != self.pad
+                aim = np.where(real, (self.lead_class if leads else self.rest_class - LEADS)[goal], 0)
+                self.bias = np.where(self.causal, p["d"][self.back], np.float32(-1e9))
+                flat, w = ids.ravel(), self.joint()
+                e = p["e"].take(flat, 0)
+                a, q, k, v, res = self.attend(e @ w, ids, first)
+                h = a @ v
+                h += res
+                h = h.reshape(-1, WIDTH)
                 g = np.maximum(h, 0)
-                o = g @ p["o"][:, here] + p["b"][here]
-                o = np.exp(o - o.max(2, keepdims=True))
-                o /= o.sum(2, keepdims=True)
-                np.put_along_axis(o, aim, np.take_along_axis(o, aim, 2) - 1, 2)
-                o *= (real / max(1.0, real.sum()))[..., None]
+                to = np.ascontiguousarray(p["o"][:, here])
+                o = g @ to
+                o += p["b"][here]
+                np.clip(o, -MOST, MOST, out=o)
+                np.exp(o, out=o)
+                o *= (real / np.float32(max(1, real.sum())))[:, None] / _sums(o)
+                o[np.arange(len(goal)), aim] -= real / np.float32(max(1, real.sum()))
                 grad = {"o": np.zeros_like(p["o"]), "b": np.zeros_like(p["b"])}
-                grad["o"][:, here], grad["b"][here] = outer(g, o), o.sum((0, 1))
-                dh = (o @ p["o"][:, here].T) * (h > 0)
-                grad["r"] = outer(eq, dh)
-                da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-                da = a * (da - (da * a).sum(2, keepdims=True))
-                grad["d"] = np.bincount(back.ravel(), (da.sum(0) * causal).ravel(), 2 * CHUNK).astype(np.float32)
-                dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-                grad |= {"q": outer(eq, dq) / root, "k": outer(e, dk), "v": outer(e, dv)}
-                de = dk @ p["k"].T + dv @ p["v"].T
-                de[:, -width:] += dq @ p["q"].T / root + dh @ p["r"].T
-                flat = keys.ravel()
-                order = np.argsort(flat, kind="stable")
-                ids, first = np.unique(flat[order], return_index=True)
-                ge = np.add.reduceat(de.reshape(-1, WIDTH)[order], first)
+                grad["o"][:, here], grad["b"][here] = g.T @ o, o.sum(0)
+                dh = o @ to.T
+                dh *= h > 0
+                dh = dh.reshape(-1, width, WIDTH)
+                da = dh @ v.transpose(0, 2, 1)
+                da *= a
+                da -= a * _sums(da)
+                dz = np.zeros((*ids.shape, 4 * WIDTH), np.float32)
+                dz[back:, :, :WIDTH], dz[back:, :, 3 * WIDTH :] = da @ k, dh
+                for i, d in ((1, da.transpose(0, 2, 1) @ q), (2, a.transpose(0, 2, 1) @ dh)):
+                    to_z = dz[:, :, i * WIDTH : (i + 1) * WIDTH]
+                    to_z[back:] = d[:, -width:]
+                    if back:
+                        to_z[:-1] += d[:, :width]
+                place = (slice(0, width), slice(0 if back else CHUNK, CHUNK + width))
+                grad["d"] = np.bincount(self.back[place].ravel(), da.sum(0).ravel(), 2 * CHUNK).astype(np.float32)
+                dz = dz.reshape(len(flat), -1)
+                gw = e.T @ dz
+                grad |= {x: gw[:, i * WIDTH : (i + 1) * WIDTH] for i, x in enumerate("qkvr")}
+                grad["q"] = grad["q"] / root
+                de = dz @ w.T
+                order = np.argsort(flat.astype(narrow), kind="stable")
+                near = flat[order]
+                starts = np.flatnonzero(np.r_[True, near[1:] != near[:-1]])
+                ids, ge = near[starts], np.add.reduceat(de.take(order, 0), starts)
                 step += 1
-                fix = np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
+                pace = float(rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step))
                 for name, d in grad.items():
                     m[name] += 0.1 * (d - m[name])
                     s[name] += 0.01 * (d * d - s[name])
-                    p[name] -= (rate * fix * m[name] / (np.sqrt(s[name]) + 1e-8)).astype(np.float32)
-                m["e"][ids] += 0.1 * (ge - m["e"][ids])
-                s["e"][ids] += 0.01 * (ge * ge - s["e"][ids])
-                p["e"][ids] -= (rate * fix * m["e"][ids] / (np.sqrt(s["e"][ids]) + 1e-8)).astype(np.float32)
+                    p[name] -= pace * m[name] / (np.sqrt(s[name]) + 1e-8)
+                me, se = m["e"][ids], s["e"][ids]
+                me += 0.1 * (ge - me)
+                se += 0.01 * (ge * ge - se)
+                m["e"][ids], s["e"][ids] = me, se
+                p["e"][ids] -= pace * me / (np.sqrt(se) + 1e-8)
         return m, s, step
 
 
+def _run(model: Model, before: np.ndarray | None, now: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Inputs of the chunks from lo to hi and, where chunks see those before them, one more ahead of these and which of them begin a sequence."""
+    if before is None:
+        return now[lo:hi], None
+    return np.concatenate([before[lo : lo + 1], now[lo:hi]]), before[lo:hi, 0] == model.pad
+
+
 def chunks(model: Model, goals: np.ndarray, lengths: np.ndarray, first: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Chunks before, now and wanted for sequences laid end to end, and the place of each goal among the flattened chunks.
 
@@ -265,12 +316,14 @@ def chunks(model: Model, goals: np.ndarray, lengths: np.ndarray, first: np.ndarr
 
 
 class Words(dict):
-    """Number of each distinct word met; its hash, first subword and the score of its spelling in its class are kept in arrays."""
+    """Number of each distinct word met; its hash, first subword and further ones are kept in arrays."""
 
     def __init__(self, enc: tiktoken.Encoding):
         super().__init__()
         self.enc, self.fresh, self.hashes = enc, [], []
-        self.lead, self.rest = np.empty(0, np.int64), np.empty(0)
+        self.lead, self.size, self.rest = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.blank = np.zeros(enc.max_token_value + 1, bool)
+        self.blank[[i for x, i in enc._mergeable_ranks.items() if x[:1] == b" "]] = True
 
     def __missing__(self, word: bytes) -> int:
         value = self[word] = len(self)
@@ -278,21 +331,47 @@ class Words(dict):
         self.hashes.append(xxhash.xxh3_64_intdigest(word) >> 1)
         return value
 
-    def subwords(self, words: list[bytes]) -> list[list[int]]:
-        return [self.enc.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in words]
-
-    def settle(self, model: Model) -> None:
-        """Score what follows the first subword of the words that are new."""
-        for lo in range(0, len(self.fresh), 50_000):
-            subs = self.subwords(self.fresh[lo : lo + 50_000])
-            lead = np.array([s[0] for s in subs], np.int64)
-            goals = np.array([x for s in subs for x in [*s[1:], model.stop]], np.int64)
-            size = np.array([len(s) for s in subs], np.int64)
-            self.lead = np.concatenate([self.lead, lead])
-            self.rest = np.concatenate([self.rest, model.lead_share[lead] + _rests(model, lead, goals, size)])
+    def subwords(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Subwords of the words, end to end, and their number in each.
+
+        A single blank between characters that are not white space begins a new match of the
+        pre-tokenizer, so words without white space are encoded together.
+        """
+        flat, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for lo in range(0, len(words), 2000):
+            some = words[lo : lo + 2000]
+            text = (b" " + b" ".join(some)).decode("utf-8", "replace")
+            ids = np.array(self.enc.encode_ordinary(text), np.int32) if len(text.split()) == len(some) else flat[0]
+            starts = np.flatnonzero(self.blank[ids])
+            if len(starts) == len(some):
+                flat.append(ids)
+                sizes.append(np.diff(np.append(starts, len(ids))))
+            else:
+                each = [self.enc.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in some]
+                flat.append(np.array([i for x in each for i in x], np.int32))
+                sizes.append(np.array([len(x) for x in each], np.int64))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def spell(self) -> None:
+        """Subwords of the words that are new. The mark that ends a word follows the further ones, whose number in size counts it."""
+        if not self.fresh:
+            return
+        flat, size = self.subwords(self.fresh)
+        ends = np.cumsum(size)
+        self.lead = np.concatenate([self.lead, flat[ends - size].astype(np.int64)])
+        flat = np.append(flat[1:], np.int32(0))
+        flat[ends - 1] = self.enc.max_token_value + 1 + 3
+        self.size, self.rest = np.concatenate([self.size, size]), np.concatenate([self.rest, flat])
         self.fresh = []
 
 
+def _pick(flat: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs numbered at of runs of these sizes laid end to end."""
+    own = size[at]
+    shift = np.cumsum(size)[at] - size[at] - (np.cumsum(own) - own)
+    return flat[np.arange(int(own.sum())) + np.repeat(shift, own)]
+
+
 def _spellings(model: Model, lead: np.ndarray, goals: np.ndarray, size: np.ndarray) -> Iterator[tuple]:
     """Chunks before, now and wanted of words after their first subwords, the words they are of, and where goals stand among the chunks.
 
@@ -339,89 +418,78 @@ def training(docs: DataFrame) -> DataFrame:
     return docs.where(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
 
 
-class Lexicon(Words):
-    """The subwords of each distinct word met, by its number."""
+PORTION = "block long, doc_id array<long>, held array<boolean>, size array<long>, stream binary, word array<long>, n array<int>, lead array<int>, rest_size array<int>, rest array<int>"
 
-    def __init__(self, enc: tiktoken.Encoding):
-        super().__init__(enc)
-        self.subs: list[list[int]] = []
 
-    def spell(self) -> None:
-        new = self.subwords(self.fresh)
-        self.subs += new
-        self.lead = np.concatenate([self.lead, np.array([x[0] for x in new], np.int64)])
-        self.fresh = []
+class Portion:
+    """The texts of some rows: sizes of the texts in words and end, whether they are held out, the number of each word, and of the distinct words the first subword and the further ones with the mark that ends them."""
 
+    def __init__(self, held: np.ndarray, size: np.ndarray, stream: np.ndarray, lead: np.ndarray, rest_size: np.ndarray, rest: np.ndarray):
+        self.held, self.size, self.stream, self.lead, self.rest_size, self.rest = held, size, stream, lead, rest_size, rest
 
-class Sequences:
-    """The words of some texts as sequences of subwords: a text's first subwords, then the further ones of each word that the lexicon had not met."""
+    @classmethod
+    def of(cls, row: pa.RecordBatch | pa.Table, i: int) -> Portion:
+        """Row i of a table of portions."""
+        one = lambda c: row.column(c)[i].values.to_numpy(zero_copy_only=False)
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.column("stream")[i].as_py()), np.uint8)
+        stream = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
+        return cls(one("held").astype(bool), one("size"), stream.astype(np.int64), one("lead").astype(np.int64), one("rest_size").astype(np.int64), one("rest"))
 
-    def __init__(self, rows: list[str], words: Lexicon):
-        known = len(words)
-        self.at = [np.fromiter(map(words.__getitem__, x), np.int64, len(x)) for x in map(_words, rows)]
+    @classmethod
+    def plain(cls, rows: list[str], words: Words) -> Portion:
+        """All words of rows that are learned from."""
+        at = [np.fromiter(map(words.__getitem__, x), np.int64, len(x)) for x in map(_words, rows)]
         words.spell()
-        self.words, self.new, self.n_ids = words, words.subs[known:], words.enc.max_token_value + 1
-
-    def texts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Goals and sizes of the texts."""
-        sizes = np.array([len(x) + 1 for x in self.at], np.int64)
-        goals = np.full(int(sizes.sum()), self.n_ids + 2, np.int64)
-        inner = np.ones(len(goals), bool)
-        inner[np.cumsum(sizes) - 1] = False
-        if self.at:
-            goals[inner] = self.words.lead[np.concatenate(self.at)]
-        return goals, sizes
-
-    def spellings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Goals, sizes and first inputs of the new words."""
-        goals = np.array([i for x in self.new for i in (*x[1:], self.n_ids + 3)], np.int64)
-        return goals, np.array([len(x) for x in self.new], np.int64), np.array([x[0] for x in self.new], np.int64)
-
-    def count(self, into: dict[str, np.ndarray], way: np.ndarray) -> None:
-        """Add, by id: counts as first and as further subword, documents that hold it as such, and the sum of their directions."""
-        total = len(way)
-        into["leads"][:, 0] += np.bincount(self.texts()[0], minlength=total)
-        into["rests"][:, 0] += np.bincount(self.spellings()[0], minlength=total)
-        lead_of, subs = self.words.lead, self.words.subs
-        for x in self.at:
-            own = np.unique(x)
-            lead = np.unique(lead_of[own])
-            rest = np.unique(np.array([i for w in own.tolist() for i in subs[w][1:]], np.int64))
-            doc = way[lead].sum(0)
-            doc /= max(1e-12, float(np.sqrt(doc @ doc)))
-            for name, ids in (("lead", lead), ("rest", rest)):
-                into[f"{name}_docs"][ids] += 1
-                into[f"{name}_way"][ids] += doc
-
-    def train(self, model: Model, **how) -> tuple | None:
+        n, end = len(words), words.enc.max_token_value + 1 + 2
+        stream = np.concatenate([y for x in at for y in (x, [n])] or [np.empty(0)]).astype(np.int64)
+        return cls(np.zeros(len(at), bool), np.array([len(x) + 1 for x in at], np.int64), stream, np.append(words.lead, end), np.append(words.size, 0), words.rest)
+
+    def count(self, into: dict[str, np.ndarray], way: np.ndarray, fresh: np.ndarray) -> None:
+        """Add, by id: counts as first and as further subword, documents that hold it as such, and the sum of their directions. fresh: the words that no portion before counts."""
+        total, end = len(way), len(way) - 2
+        learned = np.repeat(~self.held, self.size)
+        docs, stream = np.repeat(np.arange(len(self.size)), self.size)[learned], self.stream[learned]
+        into["leads"][:, 0] += np.bincount(self.lead[stream], minlength=total)
+        into["rests"][:, 0] += np.bincount(_pick(self.rest, self.rest_size, fresh), minlength=total)
+        inner = self.lead[stream] != end
+        own = _distinct(docs[inner] * len(self.lead) + stream[inner])
+        doc, word = own // len(self.lead), own % len(self.lead)
+        size = np.maximum(self.rest_size - 1, 0)
+        bare = self.rest[self.rest != total - 1]
+        held = {"lead": (doc, self.lead[word]), "rest": (np.repeat(doc, size[word]), _pick(bare, size, word))}
+        held = {k: np.divmod(_distinct(i * len(self.size) + d), len(self.size)) for k, (d, i) in held.items()}
+        ids, doc = held["lead"]
+        order = np.argsort(doc.astype(np.uint16) if len(self.size) <= 1 << 16 else doc, kind="stable")
+        ways = np.zeros((len(self.size), way.shape[1]), np.float32)
+        if len(order):
+            starts = np.flatnonzero(np.r_[True, np.diff(doc[order]) > 0])
+            ways[doc[order][starts]] = np.add.reduceat(way.take(ids[order], 0), starts)
+        ways /= np.maximum(np.sqrt((ways * ways).sum(1, keepdims=True)), np.float32(1e-12))
+        for name, (ids, doc) in held.items():
+            if len(ids):
+                starts = np.flatnonzero(np.r_[True, np.diff(ids) > 0])
+                into[f"{name}_docs"][ids[starts], 0] += np.diff(np.append(starts, len(ids)))
+                into[f"{name}_way"][ids[starts]] += np.add.reduceat(ways.take(doc, 0), starts)
+
+    def train(self, model: Model, fresh: np.ndarray, **how) -> tuple | None:
         parts = []
-        if self.at:
-            parts.append((*chunks(model, *self.texts(), model.begin)[:3], True))
-        if self.new:
-            goals, sizes, firsts = self.spellings()
-            parts += [(before, now, want, False) for before, now, want, _, _ in _spellings(model, firsts, goals, sizes)]
+        if not self.held.all():
+            parts.append((*chunks(model, self.lead[self.stream[np.repeat(~self.held, self.size)]], self.size[~self.held], model.begin)[:3], True))
+        if len(fresh):
+            goals = _pick(self.rest, self.rest_size, fresh).astype(np.int64)
+            parts += [(before, now, want, False) for before, now, want, _, _ in _spellings(model, self.lead[fresh], goals, self.rest_size[fresh])]
         return model.train(parts, **how) if parts else how.get("moments")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], enc: tiktoken.Encoding) -> Iterator[Sequences]:
-    """All texts of a partition, BLOCK rows or PORTION_BYTES characters at a time; the lexicon begins anew where it grows too large."""
-    words, rows, weight = Lexicon(enc), [], 0
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            rows.append(text)
-            weight += len(text)
-            if len(rows) >= BLOCK or weight >= PORTION_BYTES:
-                yield Sequences(rows, words)
-                rows, weight = [], 0
-                if len(words) > KEEP_WORDS:
-                    words = Lexicon(enc)
-    if rows:
-        yield Sequences(rows, words)
-
-
 def fit(docs: DataFrame, vocabulary: str, pattern: str) -> Model:
     """Model of the training rows of docs(doc_id, text)."""
+    return learn(docs, counted(docs, vocabulary, pattern)[0], vocabulary, pattern)
+
+
+def learn(docs: DataFrame, portions: DataFrame, vocabulary: str, pattern: str) -> Model:
+    """Model of the training rows of docs, whose portions have been counted."""
     spark = docs.sparkSession
+    portions = portions.select("held", "size", "stream", "lead", "rest_size", "rest", "fresh")
     docs = training(docs)
     n = docs.count()
     enc = encoding(vocabulary, pattern)
@@ -436,8 +504,9 @@ def fit(docs: DataFrame, vocabulary: str, pattern: str) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, way = {k: np.zeros((total, w)) for k, w in kinds}, directions(total)
-        for seqs in _blocks(batches, encoding(vocabulary, pattern)):
-            seqs.count(sums, way)
+        for batch in batches:
+            for i in range(len(batch)):
+                Portion.of(batch, i).count(sums, way, _fresh(batch, i))
         ids = np.flatnonzero(sum(sums[k][:, 0] for k in ("leads", "rests", "lead_docs", "rest_docs")))
         for lo in range(0, len(ids), 4096):
             yield table(ids[lo : lo + 4096], np.concatenate([sums[k][ids[lo : lo + 4096]] for k, _ in kinds], 1))
@@ -450,11 +519,12 @@ def fit(docs: DataFrame, vocabulary: str, pattern: str) -> Model:
         return out
 
     wide = 4 + 2 * DIRECTIONS
-    sums = summed(docs.select("text").mapInArrow(tidied(count), "id long, x array<double>"), wide)
+    sums = summed(portions.mapInArrow(tidied(count), "id long, x array<double>"), wide)
     model = Model(n_ids, sums[:, 0], sums[:, 1], topics(sums[:, 2], sums[:, 4 : 4 + DIRECTIONS]), topics(sums[:, 3], sums[:, 4 + DIRECTIONS :]))
     dealt = F.xxhash64("doc_id", "text")
     first = docs.where(F.pmod(dealt, F.lit(max(1, n // START))) == 0).orderBy(dealt, "text").limit(START).select("text").collect()
-    Sequences([r["text"] for r in first], Lexicon(enc)).train(model)
+    start = Portion.plain([r["text"] for r in first], Words(enc))
+    start.train(model, np.flatnonzero(start.rest_size))
     model.tables()
     if n > START:
         small = sorted(k for k in model.p if k != "e")
@@ -462,9 +532,11 @@ def fit(docs: DataFrame, vocabulary: str, pattern: str) -> Model:
 
         def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, moments, words = copy.deepcopy(held.value), None, 0.0
-            for seqs in _blocks(batches, encoding(vocabulary, pattern)):
-                moments = seqs.train(own, epochs=1, batch=512, rate=0.003, moments=moments)
-                words += sum(len(x) + 1 for x in seqs.at)
+            for batch in batches:
+                for i in range(len(batch)):
+                    portion = Portion.of(batch, i)
+                    moments = portion.train(own, _fresh(batch, i), epochs=1, batch=512, rate=0.003, moments=moments)
+                    words += int(portion.size[~portion.held].sum())
             if not words:
                 return
             moved = np.flatnonzero((own.p["e"] != held.value.p["e"]).any(1))
@@ -474,7 +546,7 @@ def fit(docs: DataFrame, vocabulary: str, pattern: str) -> Model:
             ids, x = np.concatenate([moved, -1 - np.arange(len(flat))]), np.concatenate([own.p["e"][moved].astype(float), flat]) * words
             yield table(ids, np.concatenate([x, np.full((len(x), 1), words)], 1))
 
-        gone = docs.select("text").mapInArrow(tidied(go_on), "id long, x array<double>")
+        gone = portions.mapInArrow(tidied(go_on), "id long, x array<double>")
         sums_ = gone.groupBy("id").agg(*[F.sum(F.get("x", F.lit(k))).alias(f"x{k}") for k in range(WIDTH + 1)]).toPandas()
         ids, x = sums_["id"].to_numpy(np.int64), sums_.drop(columns="id").to_numpy(float)
         x = (x[:, :WIDTH] / np.maximum(x[:, WIDTH:], 1e-12)).astype(np.float32)
@@ -487,44 +559,44 @@ def fit(docs: DataFrame, vocabulary: str, pattern: str) -> Model:
     return model
 
 
-def _portions(docs: DataFrame, model, vocabulary: str, pattern: str) -> DataFrame:
-    """A row for each portion: its documents with model scores, their words as numbers, and hash and training count of each word."""
-    schema = "block long, doc_id array<long>, held array<boolean>, size array<long>, score array<double>, stream binary, word array<long>, n array<long>, class array<int>, spelling array<float>"
-    arrow = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("size", pa.list_(pa.int64())), ("score", pa.list_(pa.float64())), ("stream", pa.binary()), ("word", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("class", pa.list_(pa.int32())), ("spelling", pa.list_(pa.float32()))])
+def _fresh(batch: pa.RecordBatch, i: int) -> np.ndarray:
+    at = batch.column("fresh")[i].values
+    return np.empty(0, np.int64) if at is None else np.sort(at.to_numpy().astype(np.int64))
+
+
+def _portions(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """A row for each portion: its documents, their words as numbers, and hash, training count and subwords of each word."""
+    fields = {"long": pa.int64(), "boolean": pa.bool_(), "int": pa.int32(), "binary": pa.binary()}
+    kinds = [x.split(" ") for x in PORTION.split(", ")]
+    arrow = pa.schema([(name, pa.list_(fields[kind[6:-1]]) if kind.startswith("array") else fields[kind]) for name, kind in kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm, words, block = model.value, Words(encoding(vocabulary, pattern)), TaskContext.get().partitionId() << 32
-        press = zstandard.ZstdCompressor(level=3)
+        words, block = Words(encoding(vocabulary, pattern)), TaskContext.get().partitionId() << 32
+        press, end = zstandard.ZstdCompressor(level=3), words.enc.max_token_value + 1 + 2
 
         def portion(ids: list[int], held: list[bool], parts: list[np.ndarray]) -> pa.RecordBatch:
             nonlocal block
-            words.settle(lm)
+            words.spell()
             size = np.array([len(x) + 1 for x in parts], np.int64)
-            flat = np.concatenate(parts)
-            ends = np.cumsum(size)
-            goals = np.empty(int(ends[-1]), np.int64)
-            is_end = np.zeros(len(goals), bool)
-            is_end[ends - 1] = True
-            goals[is_end] = lm.end
-            goals[~is_end] = words.lead[flat]
-            before, now, want, place = chunks(lm, goals, size, lm.begin)
-            got = lm.score(before, now, want, leads=True).ravel()[place]
-            score = np.add.reduceat(got, ends - size) / np.log(10)
-            own = np.full(len(goals), -1, np.int64)
-            own[~is_end] = flat
-            names, inverse, counts = np.unique(own, return_inverse=True, return_counts=True)
-            rank = np.argsort(-counts, kind="stable")
-            to = np.empty(len(rank), np.uint32)
-            to[rank] = np.arange(len(rank))
-            stream = to[inverse]
-            learned = np.bincount(stream, np.repeat(~np.array(held), size), len(rank)).astype(np.int64)
-            hashes = np.array([words.hashes[i] if i >= 0 else END_HASH for i in names[rank]], np.int64)
-            of = names[rank]
-            kinds = np.where(of >= 0, lm.lead_class[words.lead[of]], END).astype(np.int32) if len(words) else np.full(len(of), END, np.int32)
-            spelling = np.where(of >= 0, words.rest[of] if len(words) else 0.0, 0.0).astype(np.float32)
+            # 0 is the end, other words are numbered from 1.
+            own = np.zeros(int(size.sum()), np.int64)
+            inner = np.ones(len(own), bool)
+            inner[np.cumsum(size) - 1] = False
+            own[inner] = np.concatenate(parts) + 1
+            counts = np.bincount(own)
+            names = np.flatnonzero(counts)
+            names = names[np.argsort(-counts[names], kind="stable")]
+            to = np.empty(len(counts), np.uint32)
+            to[names] = np.arange(len(names))
+            stream = to[own]
+            learned = np.bincount(stream[np.repeat(~np.array(held), size)], minlength=len(names))
+            hashes = np.append(END_HASH, np.array(words.hashes, np.int64))[names]
+            rests = np.append(0, words.size)
+            rest = _pick(words.rest, rests, names)
             planes = stream.view(np.uint8).reshape(-1, 4).T.tobytes()
             block += 1
-            return pa.RecordBatch.from_arrays([pa.array([x], type=t) for x, t in zip((block - 1, ids, held, size, score, press.compress(planes), hashes, learned, kinds, spelling), arrow.types, strict=True)], schema=arrow)
+            row = (block - 1, ids, held, size, press.compress(planes), hashes, learned.astype(np.int32), np.append(end, words.lead)[names].astype(np.int32), rests[names].astype(np.int32), rest)
+            return pa.RecordBatch.from_arrays([pa.array([x], type=t) for x, t in zip(row, arrow.types, strict=True)], schema=arrow)
 
         ids, held, parts, weight = [], [], [], 0
         for batch in batches:
@@ -542,44 +614,58 @@ def _portions(docs: DataFrame, model, vocabulary: str, pattern: str) -> DataFram
         if ids:
             yield portion(ids, held, parts)
 
-    return docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held")).mapInArrow(tidied(run), schema)
+    return docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held")).mapInArrow(tidied(run), PORTION)
+
+
+def counted(docs: DataFrame, vocabulary: str, pattern: str) -> tuple[DataFrame, DataFrame]:
+    """Portions, each with the words of training rows that it is the first to hold, and the training count of each word of each portion."""
+    bare = stash(_portions(docs, vocabulary, pattern), "portions")
+    asked = bare.select("block", F.posexplode(F.arrays_zip("word", "n", "lead")).alias("at", "x")).select("block", "at", F.col("x.word").alias("word"), F.col("x.n").alias("n"), F.col("x.lead").alias("lead")).repartition("word")
+    known = asked.groupBy("word").agg(F.sum("n").alias("c"), F.min("block").alias("first"))
+    counts = stash(asked.join(known, "word").select("block", "at", "c", "lead", (F.col("block") == F.col("first")).alias("first")), "counts")
+    fresh = counts.where("first and c > 0").groupBy("block").agg(F.collect_list("at").alias("fresh"))
+    portions = stash(bare.drop("word", "n").join(fresh.hint("merge"), "block", "left"), "fresh")
+    discard(bare)
+    return portions, counts
 
 
 def score_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     docs = texts(docs)
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, vocabulary, pattern))
-    portions = stash(_portions(docs, model, vocabulary, pattern), "portions")
-    asked = portions.select("block", F.posexplode(F.arrays_zip("word", "n", "class")).alias("at", "x")).select("block", "at", F.col("x.word").alias("word"), F.col("x.n").cast("int").alias("n"), F.col("x.class").alias("class")).repartition("word")
-    known = asked.groupBy("word").agg(F.sum("n").alias("c"), F.min("block").alias("first"))
-    counts = stash(asked.join(known, "word").select("block", "at", "c", "class", (F.col("block") == F.col("first")).alias("first")), "counts")
+    portions, counts = counted(docs, vocabulary, pattern)
+    fitted = learn(docs, portions, vocabulary, pattern)
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
     held, kinds = np.zeros(LEADS), np.zeros(LEADS)
-    for r in counts.where("first and c > 0").groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
-        held[r["class"]], kinds[r["class"]] = r["n"], r["v"]
+    for r in counts.where("first and c > 0").groupBy("lead").agg(F.sum("c").alias("n"), F.count("*").alias("v")).toLocalIterator():
+        held[fitted.lead_class[r["lead"]]] += r["n"]
+        kinds[fitted.lead_class[r["lead"]]] += r["v"]
     n = int(held.sum())
     floor = float(np.log10(n + kinds.sum() + 1))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     empty = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(left, right):
-        out, press = [], zstandard.ZstdDecompressor()
+        out, lm = [], model.value
         at, c = np.asarray(right.column("at")), np.asarray(right.column("c"))
         count = np.zeros(len(at), np.int64)
         count[at] = c
         logs = np.log10(count + 1.0)
-        for row in left.to_pylist():
-            size = np.array(row["size"], np.int64)
-            stream = np.ascontiguousarray(np.frombuffer(press.decompress(row["stream"]), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-            starts = np.cumsum(size) - size
-            cls, spelling = np.array(row["class"], np.int64), np.array(row["spelling"], float)
+        for i in range(len(left)):
+            x = Portion.of(left, i)
+            starts = np.cumsum(x.size) - x.size
+            before, now, want, place = chunks(lm, x.lead[x.stream], x.size, lm.begin)
+            got = lm.score(before, now, want, leads=True).ravel()[place]
+            words, spelling = np.flatnonzero(x.rest_size), np.zeros(len(x.lead))
+            spelling[words] = lm.lead_share[x.lead[words]] + _rests(lm, x.lead[words], x.rest.astype(np.int64), x.rest_size[words])
+            cls = lm.lead_class[x.lead]
             share = np.logaddexp(np.log(np.maximum(count, 1e-300)), np.log(kinds[cls] + 1) + spelling) - np.log(held[cls] + kinds[cls] + 1)
-            score = np.array(row["score"]) + np.add.reduceat(share[stream], starts) / np.log(10)
-            base = np.add.reduceat(logs[stream], starts) - size * floor
-            seen = np.add.reduceat((count[stream] > 0).astype(np.int64), starts)
-            out.append(pa.table([row["doc_id"], row["held"], size, seen, np.full(len(size), n), base, score], schema=empty))
+            score = np.add.reduceat(got + share[x.stream], starts) / np.log(10)
+            base = np.add.reduceat(logs[x.stream], starts) - x.size * floor
+            seen = np.add.reduceat((count[x.stream] > 0).astype(np.int64), starts)
+            out.append(pa.table([left.column("doc_id")[i].values, left.column("held")[i].values, x.size, seen, np.full(len(x.size), n), base, score], schema=empty))
         return pa.concat_tables(out) if out else empty.empty_table()
 
-    left = portions.select("block", "doc_id", "held", "size", "score", "stream", "class", "spelling").groupBy("block")
+    left = portions.select("block", "doc_id", "held", "size", "stream", "lead", "rest_size", "rest").groupBy("block")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return left.cogroup(counts.select("block", "at", "c").groupBy("block")).applyInArrow(run, schema).select(*names)
 
