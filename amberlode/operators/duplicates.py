@@ -16,25 +16,28 @@ CELLS = 72
 
 
 def text_grids(documents: DataFrame) -> DataFrame:
-    """hash and a 72-cell grid of each distinct text with a token: tokens counted by the first 16 bits of their md5.
+    """hash and a 72-cell grid of each row whose text has a token: tokens counted by the first 16 bits of their md5.
 
-    Copies of a text count alike, so its counts are sums over its rows divided by their number,
-    which cell -1 holds. No text is shuffled.
+    Copies of a text have equal grids. Each token is one of 72 characters of a string, in which
+    the characters of a cell are counted; neither texts nor counts are shuffled.
     """
-    cell = F.conv(F.substring(F.md5(F.col("token").cast("binary")), 1, 4), 16, 10).cast("int") % CELLS
+    first = F.ascii(F.lit("0"))
+    cell = lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 4), 16, 10).cast("int") % CELLS
     tokens = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda t: t != "")
-    texts = documents.select(F.sha2(F.col("text").cast("binary"), 256).alias("hash"), tokens.alias("tokens")).where(F.size("tokens") > 0)
-    rows = texts.select("hash", F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("token"))
-    counts = rows.groupBy("hash", F.when(F.col("token") == "", -1).otherwise(cell).alias("cell")).agg(F.count("*").alias("n"))
-    held = counts.groupBy("hash").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("held"))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: F.coalesce(F.try_element_at("held", c) / F.try_element_at("held", F.lit(-1)), F.lit(0.0)).cast("bigint"))
-    return held.select("hash", grid.alias("grid"))
+    places = F.array_join(F.transform(tokens, lambda t: F.char(first + cell(t))), "")
+    count = lambda x: F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: (F.length(x) - F.length(F.replace(x, F.char(first + c), F.lit("")))).cast("bigint"))
+    # The string is bound once, as the grid below.
+    grid = F.get(F.transform(F.array(places), count), F.lit(0))
+    return documents.where("text rlike '[a-zA-Z0-9]'").select(F.sha2(F.col("text").cast("binary"), 256).alias("hash"), grid.alias("grid"))
 
 
 def hashes(grids: DataFrame) -> DataFrame:
+    """hash, bits and phash of each distinct hash."""
     # The grid is bound once: a plan that puts its expression in place of the column would work it out for every bit.
     bits = F.get(F.transform(F.array("grid"), lambda g: S.dhash_bits(lambda at: F.get(g, at))), F.lit(0))
-    return grids.select("hash", bits.alias("bits")).where(~S.degenerate(F.col("bits"))).select("hash", "bits", S.hash_hex(F.col("bits")).alias("phash"))
+    # A filter would move below the bits and work them out once more.
+    kept = F.explode(F.filter(F.array(bits), lambda b: ~S.degenerate(b)))
+    return grids.select("hash", kept.alias("bits")).distinct().select("hash", "bits", S.hash_hex(F.col("bits")).alias("phash"))
 
 
 def bands(hashed: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """What large tables move: keys of orders rather than hashes, and running sums by ranges."""
 
+import hashlib
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from amberlode.operators import flows, placement
+from amberlode.operators import duplicates, flows, placement
 from amberlode.plans import catalog_queries as Q
 from amberlode.sources import tables
 
@@ -38,3 +40,12 @@ def test_running_sums_by_ranges_equal_one_window(spark):
     got = placement.used_running(rows)
     want = rows.select("replica", "hash", F.sum("size").over(W.partitionBy("replica").orderBy("hash")).alias("used"))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_near_duplicate_bits_shuffle_no_counts(spark):
+    rows = spark.createDataFrame([("One two, two three!",), ("One two, two three!",), ("..  ",), (None,), ("ONE two two THREE",)] + [(f"w{i} x{i * i} y z{i % 7}",) for i in range(40)], "text string")
+    grids = {tuple(r) for r in duplicates.text_grids(rows).select("hash", F.array_join("grid", ",")).collect()}
+    assert len(grids) == 42 and sum(map(int, min(g for h, g in grids if h == hashlib.sha256(b"ONE two two THREE").hexdigest()).split(","))) == 4
+    hashed = duplicates.hashes(duplicates.text_grids(rows))
+    plan = hashed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and hashed.count() == hashed.select("hash").distinct().count()
