@@ -49,6 +49,7 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import crc_mod, discard, documents, stash, texts, tidied
@@ -418,7 +419,7 @@ def training(docs: DataFrame) -> DataFrame:
     return docs.where(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
 
 
-PORTION = "block long, doc_id array<long>, held array<boolean>, size array<long>, stream binary, word array<long>, n array<int>, lead array<int>, rest_size array<int>, rest array<int>"
+PORTION = "block long, doc_id array<long>, held array<boolean>, size array<long>, stream binary, word array<long>, n array<int>, lead array<int>, spelt binary"
 
 
 class Portion:
@@ -433,7 +434,9 @@ class Portion:
         one = lambda c: row.column(c)[i].values.to_numpy(zero_copy_only=False)
         planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.column("stream")[i].as_py()), np.uint8)
         stream = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
-        return cls(one("held").astype(bool), one("size"), stream.astype(np.int64), one("lead").astype(np.int64), one("rest_size").astype(np.int64), one("rest"))
+        spelt = np.frombuffer(row.column("spelt")[i].as_buffer(), np.int32)
+        lead, rest_size, rest = np.split(spelt[1:], [spelt[0], 2 * spelt[0]])
+        return cls(one("held").astype(bool), one("size"), stream.astype(np.int64), lead.astype(np.int64), rest_size.astype(np.int64), rest)
 
     @classmethod
     def plain(cls, rows: list[str], words: Words) -> Portion:
@@ -489,7 +492,7 @@ def fit(docs: DataFrame, vocabulary: str, pattern: str) -> Model:
 def learn(docs: DataFrame, portions: DataFrame, vocabulary: str, pattern: str) -> Model:
     """Model of the training rows of docs, whose portions have been counted."""
     spark = docs.sparkSession
-    portions = portions.select("held", "size", "stream", "lead", "rest_size", "rest", "fresh")
+    portions = portions.select("held", "size", "stream", "spelt", "fresh")
     docs = training(docs)
     n = docs.count()
     enc = encoding(vocabulary, pattern)
@@ -592,10 +595,11 @@ def _portions(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
             learned = np.bincount(stream[np.repeat(~np.array(held), size)], minlength=len(names))
             hashes = np.append(END_HASH, np.array(words.hashes, np.int64))[names]
             rests = np.append(0, words.size)
-            rest = _pick(words.rest, rests, names)
+            leads = np.append(end, words.lead)[names].astype(np.int32)
+            spelt = np.concatenate([[len(names)], leads, rests[names], _pick(words.rest, rests, names)]).astype(np.int32)
             planes = stream.view(np.uint8).reshape(-1, 4).T.tobytes()
             block += 1
-            row = (block - 1, ids, held, size, press.compress(planes), hashes, learned.astype(np.int32), np.append(end, words.lead)[names].astype(np.int32), rests[names].astype(np.int32), rest)
+            row = (block - 1, ids, held, size, press.compress(planes), hashes, learned.astype(np.int32), leads, spelt.tobytes())
             return pa.RecordBatch.from_arrays([pa.array([x], type=t) for x, t in zip(row, arrow.types, strict=True)], schema=arrow)
 
         ids, held, parts, weight = [], [], [], 0
@@ -620,11 +624,11 @@ def _portions(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 def counted(docs: DataFrame, vocabulary: str, pattern: str) -> tuple[DataFrame, DataFrame]:
     """Portions, each with the words of training rows that it is the first to hold, and the training count of each word of each portion."""
     bare = stash(_portions(docs, vocabulary, pattern), "portions")
-    asked = bare.select("block", F.posexplode(F.arrays_zip("word", "n", "lead")).alias("at", "x")).select("block", "at", F.col("x.word").alias("word"), F.col("x.n").alias("n"), F.col("x.lead").alias("lead")).repartition("word")
-    known = asked.groupBy("word").agg(F.sum("n").alias("c"), F.min("block").alias("first"))
-    counts = stash(asked.join(known, "word").select("block", "at", "c", "lead", (F.col("block") == F.col("first")).alias("first")), "counts")
+    asked = bare.select("block", F.posexplode(F.arrays_zip("word", "n", "lead")).alias("at", "x")).select("block", "at", F.col("x.word").alias("word"), F.col("x.n").alias("n"), F.col("x.lead").alias("lead"))
+    word = W.partitionBy("word")  # as many rows as portions hold it
+    counts = stash(asked.select("block", "at", F.sum("n").over(word).alias("c"), "lead", (F.col("block") == F.min("block").over(word)).alias("first")), "counts")
     fresh = counts.where("first and c > 0").groupBy("block").agg(F.collect_list("at").alias("fresh"))
-    portions = stash(bare.drop("word", "n").join(fresh.hint("merge"), "block", "left"), "fresh")
+    portions = stash(bare.drop("word", "n", "lead").join(fresh.hint("merge"), "block", "left"), "fresh")
     discard(bare)
     return portions, counts
 
@@ -665,7 +669,7 @@ def score_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame
             out.append(pa.table([left.column("doc_id")[i].values, left.column("held")[i].values, x.size, seen, np.full(len(x.size), n), base, score], schema=empty))
         return pa.concat_tables(out) if out else empty.empty_table()
 
-    left = portions.select("block", "doc_id", "held", "size", "stream", "lead", "rest_size", "rest").groupBy("block")
+    left = portions.select("block", "doc_id", "held", "size", "stream", "spelt").groupBy("block")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return left.cogroup(counts.select("block", "at", "c").groupBy("block")).applyInArrow(run, schema).select(*names)
 

@@ -1,13 +1,15 @@
 """Places where an operator or a stage once did less than the whole job."""
 
 import math
+import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from amberlode.llm import attention_lm, html, pii
-from amberlode.llm.common import components, crc_mod
+from amberlode.llm.common import components, crc_mod, texts
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -164,3 +166,18 @@ def test_components_of_a_small_graph_cost_the_driver_few_jobs(spark):
     assert {r["node"]: r["root"] for r in got.collect()} == want and got.count() == len(want) and jobs <= 6
     assert {r["node"]: r["root"] for r in components(edges, few=10).collect()} == want
     assert components(edges.where("a = b")).count() == 0
+
+
+def test_language_model_spells_each_training_word_once(spark):
+    """Over all portions and partitions; words encoded together have the subwords that they have alone."""
+    rows = [(i, f"alpha b{i % 5} gamma don't ü#{i % 3}") for i in range(60)] + [(60, None), (61, "a　b \x1c  x 12ab")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    portions, counts = attention_lm.counted(texts(docs), *attention_lm.public_vocabulary())
+    learned = [t or "" for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    want = Counter(w for t in learned for w in t.encode().lower().split())
+    assert portions.count() == 3 and sum(len(r["fresh"] or []) for r in portions.collect()) == len(want) + 1  # and the end
+    assert sum(r["c"] for r in counts.where("first").collect()) == sum(want.values()) + len(learned)
+    words = attention_lm.Words(attention_lm.encoding(*attention_lm.public_vocabulary()))
+    together, sizes = words.subwords(list(want))
+    alone = [words.enc.encode_ordinary(" " + w.decode()) for w in want]
+    assert together.tolist() == [i for x in alone for i in x] and sizes.tolist() == [len(x) for x in alone]
