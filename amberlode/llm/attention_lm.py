@@ -28,8 +28,8 @@ a time, and the weights of all partitions are averaged by the words that they sa
 are learned once for each distinct word of all training rows, by the first portion that holds it. Only
 sums by subword and by weight reach the driver, whose number does not grow with the input.
 The counts cover all training rows: each portion sends its distinct words by
-64-bit hash with their counts, counts are summed by word and return to the portions
-that asked, so that texts themselves are never shuffled.
+64-bit hash with their counts, those of one bucket of hashes in one row; counts are summed by word and
+return to the portions that asked, so that texts themselves are never shuffled.
 
 Null texts count as empty and consist of the end token. Repeated rows are scored
 and counted row by row. Texts of any length are scored whole. Without training
@@ -41,15 +41,16 @@ from __future__ import annotations
 
 import copy
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import crc_mod, discard, documents, stash, texts, tidied
@@ -69,6 +70,8 @@ PORTION_DOCS, PORTION_BYTES = 4096, 12_000_000
 KEEP_WORDS = 250_000
 SPECIAL = 4  # pad, begin, end of text, end of word follow the vocabulary
 END_HASH = -1
+BUCKET_WORDS, FEW_BUCKETS, FEW_WORDS = 1 << 19, 64, 1 << 12  # words of all portions in a bucket of hashes; smaller tables have more buckets, for more tasks
+ASKED, FOUND = np.dtype([("word", "<i8"), ("n", "<i4"), ("at", "<i4")]), np.dtype([("c", "<i8"), ("at", "<i4")])
 
 
 def _even(weight: np.ndarray, parts: int) -> np.ndarray:
@@ -120,8 +123,11 @@ def _sums(x: np.ndarray) -> np.ndarray:
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:
-    x = np.sort(x)
-    return x[np.flatnonzero(np.diff(x, prepend=x[:1] - 1))]
+    """The distinct values of x, which is sorted in place."""
+    x.sort()
+    first = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    return x[first]
 
 
 class Model:
@@ -301,14 +307,13 @@ def chunks(model: Model, goals: np.ndarray, lengths: np.ndarray, first: np.ndarr
     width = -(-lengths // CHUNK)
     starts = (np.cumsum(width) - width) * CHUNK
     ends = np.cumsum(lengths)
-    place = np.arange(len(goals)) - np.repeat(ends - lengths, lengths) + np.repeat(starts, lengths)
-    want = np.full(int(width.sum()) * CHUNK, model.pad, np.int64)
+    place = np.repeat(starts - (ends - lengths), lengths)
+    place += np.arange(len(goals))
+    want = np.full(int(width.sum()) * CHUNK, model.pad, np.int32)
     want[place] = goals
-    now = np.full(len(want), model.pad, np.int64)
-    inner = np.ones(len(goals), bool)
-    some = lengths > 0
-    inner[(ends - lengths)[some]] = False
-    now[place[inner]] = goals[np.flatnonzero(inner) - 1]
+    now, some = np.empty_like(want), lengths > 0
+    now[1:] = want[:-1]
+    now[want == model.pad] = model.pad
     now[starts[some]] = first[some] if isinstance(first, np.ndarray) else first
     now, want = now.reshape(-1, CHUNK), want.reshape(-1, CHUNK)
     before = np.roll(now, 1, 0)
@@ -321,16 +326,26 @@ class Words(dict):
 
     def __init__(self, enc: tiktoken.Encoding):
         super().__init__()
-        self.enc, self.fresh, self.hashes = enc, [], []
+        self.enc, self.fresh, self.hashes = enc, [], np.empty(0, np.int64)
         self.lead, self.size, self.rest = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
         self.blank = np.zeros(enc.max_token_value + 1, bool)
         self.blank[[i for x, i in enc._mergeable_ranks.items() if x[:1] == b" "]] = True
 
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = len(self)
-        self.fresh.append(word)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word) >> 1)
-        return value
+    def numbers(self, rows: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the words of the texts, end to end, and how many each text has."""
+        found = pc.ascii_split_whitespace(pc.ascii_lower(rows))
+        flat, ends = found.flatten(), np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy())])
+        real = pc.binary_length(flat).to_numpy() > 0  # white space at either end leaves an empty word
+        size = np.diff(np.concatenate([[0], np.cumsum(real)])[ends])
+        flat = (flat if real.all() else flat.filter(pa.array(real))).dictionary_encode()
+        names = flat.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(at < 0)
+        at[new] = np.arange(len(self), len(self) + len(new))
+        fresh = [names[i] for i in new.tolist()]
+        self.fresh += fresh
+        self.update(zip(fresh, at[new].tolist(), strict=True))
+        return at.astype(np.int32)[flat.indices.to_numpy()], size
 
     def subwords(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Subwords of the words, end to end, and their number in each.
@@ -357,6 +372,8 @@ class Words(dict):
         """Subwords of the words that are new. The mark that ends a word follows the further ones, whose number in size counts it."""
         if not self.fresh:
             return
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.fresh), np.uint64, len(self.fresh)) >> np.uint64(1)
+        self.hashes = np.concatenate([self.hashes, hashes.astype(np.int64)])
         flat, size = self.subwords(self.fresh)
         ends = np.cumsum(size)
         self.lead = np.concatenate([self.lead, flat[ends - size].astype(np.int64)])
@@ -410,16 +427,31 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
 def training(docs: DataFrame) -> DataFrame:
     """The rows to learn from."""
     return docs.where(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
 
 
-PORTION = "block long, doc_id array<long>, held array<boolean>, size array<long>, stream binary, word array<long>, n array<int>, lead array<int>, spelt binary"
+def _run_sums(rows: np.ndarray, at: np.ndarray, starts: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    """Sums of the rows numbered at over each of the runs that begin there, about step rows at a time."""
+    out, ends = np.empty((len(starts), rows.shape[1]), rows.dtype), np.append(starts[1:], len(at))
+    cuts = _distinct(np.append(np.searchsorted(starts, np.arange(0, len(at), step)), len(starts)))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        out[lo:hi] = np.add.reduceat(rows.take(at[starts[lo] : ends[hi - 1]], 0), starts[lo:hi] - starts[lo])
+    return out
+
+
+def _pressed(x: np.ndarray) -> bytes:
+    """32-bit numbers, their lowest bytes first, then the others, compressed."""
+    return zstandard.ZstdCompressor(level=3).compress(x.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _loose(column: pa.Array, i: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(column[i].as_buffer()), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).ravel()
+
+
+PORTION = "block long, doc_id array<long>, held array<boolean>, size array<long>, stream binary, word binary, n binary, spelt binary"
 
 
 class Portion:
@@ -432,31 +464,33 @@ class Portion:
     def of(cls, row: pa.RecordBatch | pa.Table, i: int) -> Portion:
         """Row i of a table of portions."""
         one = lambda c: row.column(c)[i].values.to_numpy(zero_copy_only=False)
-        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.column("stream")[i].as_py()), np.uint8)
-        stream = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
-        spelt = np.frombuffer(row.column("spelt")[i].as_buffer(), np.int32)
+        stream, spelt = _loose(row.column("stream"), i), _loose(row.column("spelt"), i)
         lead, rest_size, rest = np.split(spelt[1:], [spelt[0], 2 * spelt[0]])
-        return cls(one("held").astype(bool), one("size"), stream.astype(np.int64), lead.astype(np.int64), rest_size.astype(np.int64), rest)
+        return cls(one("held").astype(bool), one("size"), stream, lead.astype(np.int64), rest_size.astype(np.int64), rest)
 
     @classmethod
     def plain(cls, rows: list[str], words: Words) -> Portion:
         """All words of rows that are learned from."""
-        at = [np.fromiter(map(words.__getitem__, x), np.int64, len(x)) for x in map(_words, rows)]
+        flat, size = words.numbers(pa.array(rows, pa.string()))
         words.spell()
         n, end = len(words), words.enc.max_token_value + 1 + 2
-        stream = np.concatenate([y for x in at for y in (x, [n])] or [np.empty(0)]).astype(np.int64)
-        return cls(np.zeros(len(at), bool), np.array([len(x) + 1 for x in at], np.int64), stream, np.append(words.lead, end), np.append(words.size, 0), words.rest)
+        stream = np.insert(flat, np.cumsum(size), n)
+        return cls(np.zeros(len(rows), bool), size + 1, stream, np.append(words.lead, end), np.append(words.size, 0), words.rest)
 
     def count(self, into: dict[str, np.ndarray], way: np.ndarray, fresh: np.ndarray) -> None:
-        """Add, by id: counts as first and as further subword, documents that hold it as such, and the sum of their directions. fresh: the words that no portion before counts."""
+        """Add, by id: counts as first and as further subword, distinct words that it begins, documents that hold it as such, and the sum of their directions. fresh: the words that no portion before counts."""
         total, end = len(way), len(way) - 2
         learned = np.repeat(~self.held, self.size)
-        docs, stream = np.repeat(np.arange(len(self.size)), self.size)[learned], self.stream[learned]
+        docs, stream = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)[learned], self.stream[learned]
         into["leads"][:, 0] += np.bincount(self.lead[stream], minlength=total)
         into["rests"][:, 0] += np.bincount(_pick(self.rest, self.rest_size, fresh), minlength=total)
-        inner = self.lead[stream] != end
-        own = _distinct(docs[inner] * len(self.lead) + stream[inner])
-        doc, word = own // len(self.lead), own % len(self.lead)
+        into["kinds"][:, 0] += np.bincount(self.lead[fresh], minlength=total)
+        own = docs * np.int64(len(self.lead))
+        own += stream
+        del docs, stream, learned
+        doc, word = np.divmod(_distinct(own), len(self.lead))
+        inner = self.lead[word] != end
+        doc, word = doc[inner], word[inner]
         size = np.maximum(self.rest_size - 1, 0)
         bare = self.rest[self.rest != total - 1]
         held = {"lead": (doc, self.lead[word]), "rest": (np.repeat(doc, size[word]), _pick(bare, size, word))}
@@ -466,18 +500,18 @@ class Portion:
         ways = np.zeros((len(self.size), way.shape[1]), np.float32)
         if len(order):
             starts = np.flatnonzero(np.r_[True, np.diff(doc[order]) > 0])
-            ways[doc[order][starts]] = np.add.reduceat(way.take(ids[order], 0), starts)
+            ways[doc[order][starts]] = _run_sums(way, ids[order], starts)
         ways /= np.maximum(np.sqrt((ways * ways).sum(1, keepdims=True)), np.float32(1e-12))
         for name, (ids, doc) in held.items():
             if len(ids):
                 starts = np.flatnonzero(np.r_[True, np.diff(ids) > 0])
                 into[f"{name}_docs"][ids[starts], 0] += np.diff(np.append(starts, len(ids)))
-                into[f"{name}_way"][ids[starts]] += np.add.reduceat(ways.take(doc, 0), starts)
+                into[f"{name}_way"][ids[starts]] += _run_sums(ways, doc, starts)
 
     def train(self, model: Model, fresh: np.ndarray, **how) -> tuple | None:
         parts = []
         if not self.held.all():
-            parts.append((*chunks(model, self.lead[self.stream[np.repeat(~self.held, self.size)]], self.size[~self.held], model.begin)[:3], True))
+            parts.append((*chunks(model, self.lead.astype(np.int32)[self.stream[np.repeat(~self.held, self.size)]], self.size[~self.held], model.begin)[:3], True))
         if len(fresh):
             goals = _pick(self.rest, self.rest_size, fresh).astype(np.int64)
             parts += [(before, now, want, False) for before, now, want, _, _ in _spellings(model, self.lead[fresh], goals, self.rest_size[fresh])]
@@ -498,7 +532,7 @@ def learn(docs: DataFrame, portions: DataFrame, vocabulary: str, pattern: str) -
     enc = encoding(vocabulary, pattern)
     n_ids = enc.max_token_value + 1
     total = n_ids + SPECIAL
-    kinds = [("leads", 1), ("rests", 1), ("lead_docs", 1), ("rest_docs", 1), ("lead_way", DIRECTIONS), ("rest_way", DIRECTIONS)]
+    kinds = [("leads", 1), ("rests", 1), ("lead_docs", 1), ("rest_docs", 1), ("kinds", 1), ("lead_way", DIRECTIONS), ("rest_way", DIRECTIONS)]
     arrow = pa.schema([("id", pa.int64()), ("x", pa.list_(pa.float64()))])
 
     def table(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
@@ -510,7 +544,7 @@ def learn(docs: DataFrame, portions: DataFrame, vocabulary: str, pattern: str) -
         for batch in batches:
             for i in range(len(batch)):
                 Portion.of(batch, i).count(sums, way, _fresh(batch, i))
-        ids = np.flatnonzero(sum(sums[k][:, 0] for k in ("leads", "rests", "lead_docs", "rest_docs")))
+        ids = np.flatnonzero(sum(sums[k][:, 0] for k, width in kinds if width == 1))
         for lo in range(0, len(ids), 4096):
             yield table(ids[lo : lo + 4096], np.concatenate([sums[k][ids[lo : lo + 4096]] for k, _ in kinds], 1))
 
@@ -521,9 +555,9 @@ def learn(docs: DataFrame, portions: DataFrame, vocabulary: str, pattern: str) -
         out[sums["id"].to_numpy(np.int64)] = sums.drop(columns="id").to_numpy(float)
         return out
 
-    wide = 4 + 2 * DIRECTIONS
-    sums = summed(portions.mapInArrow(tidied(count), "id long, x array<double>"), wide)
-    model = Model(n_ids, sums[:, 0], sums[:, 1], topics(sums[:, 2], sums[:, 4 : 4 + DIRECTIONS]), topics(sums[:, 3], sums[:, 4 + DIRECTIONS :]))
+    sums = summed(portions.mapInArrow(tidied(count), "id long, x array<double>"), 5 + 2 * DIRECTIONS)
+    model = Model(n_ids, sums[:, 0], sums[:, 1], topics(sums[:, 2], sums[:, 5 : 5 + DIRECTIONS]), topics(sums[:, 3], sums[:, 5 + DIRECTIONS :]))
+    model.held, model.kinds = (np.bincount(model.lead_class, sums[:, k], LEADS) for k in (0, 4))
     dealt = F.xxhash64("doc_id", "text")
     first = docs.where(F.pmod(dealt, F.lit(max(1, n // START))) == 0).orderBy(dealt, "text").limit(START).select("text").collect()
     start = Portion.plain([r["text"] for r in first], Words(enc))
@@ -575,42 +609,45 @@ def _portions(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, block = Words(encoding(vocabulary, pattern)), TaskContext.get().partitionId() << 32
-        press, end = zstandard.ZstdCompressor(level=3), words.enc.max_token_value + 1 + 2
+        end = words.enc.max_token_value + 1 + 2
 
-        def portion(ids: list[int], held: list[bool], parts: list[np.ndarray]) -> pa.RecordBatch:
+        def portion(ids: list[int], held: list[bool], parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             nonlocal block
             words.spell()
-            size = np.array([len(x) + 1 for x in parts], np.int64)
+            flat, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+            size = size + 1
             # 0 is the end, other words are numbered from 1.
-            own = np.zeros(int(size.sum()), np.int64)
+            own = np.zeros(int(size.sum()), np.int32)
             inner = np.ones(len(own), bool)
             inner[np.cumsum(size) - 1] = False
-            own[inner] = np.concatenate(parts) + 1
+            own[inner] = flat + 1
             counts = np.bincount(own)
             names = np.flatnonzero(counts)
             names = names[np.argsort(-counts[names], kind="stable")]
-            to = np.empty(len(counts), np.uint32)
+            to = np.empty(len(counts), np.int32)
             to[names] = np.arange(len(names))
             stream = to[own]
             learned = np.bincount(stream[np.repeat(~np.array(held), size)], minlength=len(names))
-            hashes = np.append(END_HASH, np.array(words.hashes, np.int64))[names]
+            hashes = np.append(END_HASH, words.hashes)[names]
             rests = np.append(0, words.size)
             leads = np.append(end, words.lead)[names].astype(np.int32)
             spelt = np.concatenate([[len(names)], leads, rests[names], _pick(words.rest, rests, names)]).astype(np.int32)
-            planes = stream.view(np.uint8).reshape(-1, 4).T.tobytes()
             block += 1
-            row = (block - 1, ids, held, size, press.compress(planes), hashes, learned.astype(np.int32), leads, spelt.tobytes())
+            row = (block - 1, ids, held, size, _pressed(stream), hashes.tobytes(), _pressed(learned.astype(np.int32)), _pressed(spelt))
             return pa.RecordBatch.from_arrays([pa.array([x], type=t) for x, t in zip(row, arrow.types, strict=True)], schema=arrow)
 
         ids, held, parts, weight = [], [], [], 0
         for batch in batches:
-            for doc_id, text, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = _words(text)
-                ids.append(doc_id)
-                held.append(fold)
-                parts.append(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
-                weight += len(text)
-                if len(ids) >= PORTION_DOCS or weight >= PORTION_BYTES:
+            sizes = pc.utf8_length(batch.column(1)).to_numpy().astype(np.int64)
+            while len(batch):
+                full = (len(ids) + np.arange(1, len(batch) + 1) >= PORTION_DOCS) | (weight + np.cumsum(sizes) >= PORTION_BYTES)
+                n = int(full.argmax()) + 1 if full.any() else len(batch)
+                here, batch = batch.slice(0, n), batch.slice(n)
+                ids += here.column(0).to_pylist()
+                parts.append(words.numbers(here.column(1)))
+                held += here.column(2).to_pylist()
+                weight, sizes = weight + int(sizes[:n].sum()), sizes[n:]
+                if full.any():
                     yield portion(ids, held, parts)
                     ids, held, parts, weight = [], [], [], 0
                     if len(words) > KEEP_WORDS:
@@ -621,57 +658,109 @@ def _portions(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held")).mapInArrow(tidied(run), PORTION)
 
 
+def _records(column: pa.BinaryArray, kind: np.dtype) -> np.ndarray:
+    """Records of all values of a column, end to end."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind) if ends[0] < ends[-1] else np.empty(0, kind)
+
+
+def _cut(records: np.ndarray, ends: np.ndarray) -> pa.BinaryArray:
+    """Records as values that end there, 0 being the first end."""
+    offsets = (ends * records.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(records).view(np.uint8))])
+
+
+def _deal(buckets: int):
+    """A row for each portion and bucket of hashes, with the words that it asks for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                word = np.frombuffer(batch.column("word")[i].as_buffer(), np.int64)
+                bucket = word % buckets
+                order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+                asked = np.empty(len(word), ASKED)
+                asked["word"], asked["n"], asked["at"] = word[order], _loose(batch.column("n"), i)[order], order
+                bucket = bucket[order]
+                starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                block = np.full(len(starts), batch.column("block")[i].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(block), _cut(asked, np.append(starts, len(word)))], names=["bucket", "block", "asked"])
+
+    return run
+
+
+def _answer(rows: pa.Table) -> pa.Table:
+    """For each portion that asks in a bucket, the training counts of its words and which of them it is the first to hold."""
+    rows = rows.sort_by("block").combine_chunks()
+    column = rows.column("asked").combine_chunks()
+    x = _records(column, ASKED)
+    size = pc.binary_length(column).to_numpy() // ASKED.itemsize
+    order = np.argsort(x["word"], kind="stable")
+    word = x["word"][order]
+    starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    c = np.add.reduceat(x["n"][order].astype(np.int64), starts)
+    found, first = np.empty(len(x), FOUND), np.zeros(len(x), bool)
+    found["at"], found["c"][order], first[order[starts]] = x["at"], np.repeat(c, np.diff(starts, append=len(x))), c > 0
+    ends = np.concatenate([[0], np.cumsum(size)])
+    fresh = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)])[ends].astype(np.int32)), pa.array(x["at"][first]))
+    return pa.table({"block": rows.column("block"), "found": _cut(found, ends), "fresh": fresh})
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(len(batch)):
+            found = _records(batch.column("found")[i].values, FOUND)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), batch.column("block")[i].as_py())), pa.array(found["at"].astype(np.int64)), pa.array(found["c"].copy()), pa.array(np.isin(found["at"], _fresh(batch, i)))], names=["block", "at", "c", "first"])
+
+
 def counted(docs: DataFrame, vocabulary: str, pattern: str) -> tuple[DataFrame, DataFrame]:
-    """Portions, each with the words of training rows that it is the first to hold, and the training count of each word of each portion."""
+    """Portions, each with the training counts of its words and the words of training rows that it is the first to hold; and, not computed before it is read, a row for each word of each portion."""
     bare = stash(_portions(docs, vocabulary, pattern), "portions")
-    asked = bare.select("block", F.posexplode(F.arrays_zip("word", "n", "lead")).alias("at", "x")).select("block", "at", F.col("x.word").alias("word"), F.col("x.n").alias("n"), F.col("x.lead").alias("lead"))
-    word = W.partitionBy("word")  # as many rows as portions hold it
-    counts = stash(asked.select("block", "at", F.sum("n").over(word).alias("c"), "lead", (F.col("block") == F.min("block").over(word)).alias("first")), "counts")
-    fresh = counts.where("first and c > 0").groupBy("block").agg(F.collect_list("at").alias("fresh"))
-    portions = stash(bare.drop("word", "n", "lead").join(fresh.hint("merge"), "block", "left"), "fresh")
+    n_words = (bare.agg(F.sum(F.length("word"))).first()[0] or 0) // 8
+    buckets = max(1, n_words // BUCKET_WORDS, min(FEW_BUCKETS, n_words // FEW_WORDS))
+    asked = bare.select("block", "word", "n").mapInArrow(tidied(_deal(buckets)), "bucket long, block long, asked binary")
+    answers = asked.groupBy("bucket").applyInArrow(_answer, "block long, found binary, fresh array<int>")
+    mine = answers.groupBy("block").agg(F.collect_list("found").alias("found"), F.flatten(F.collect_list("fresh")).alias("fresh"))
+    portions = stash(bare.drop("word", "n").join(mine.hint("merge"), "block"), "counted")
     discard(bare)
-    return portions, counts
+    return portions, portions.select("block", "found", "fresh").mapInArrow(_each, "block long, at long, c long, first boolean")
 
 
 def score_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     docs = texts(docs)
-    portions, counts = counted(docs, vocabulary, pattern)
+    portions, _ = counted(docs, vocabulary, pattern)
     fitted = learn(docs, portions, vocabulary, pattern)
-    model = docs.sparkSession.sparkContext.broadcast(fitted)
-    held, kinds = np.zeros(LEADS), np.zeros(LEADS)
-    for r in counts.where("first and c > 0").groupBy("lead").agg(F.sum("c").alias("n"), F.count("*").alias("v")).toLocalIterator():
-        held[fitted.lead_class[r["lead"]]] += r["n"]
-        kinds[fitted.lead_class[r["lead"]]] += r["v"]
+    model, held, kinds = docs.sparkSession.sparkContext.broadcast(fitted), fitted.held, fitted.kinds
     n = int(held.sum())
     floor = float(np.log10(n + kinds.sum() + 1))
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     empty = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def run(left, right):
-        out, lm = [], model.value
-        at, c = np.asarray(right.column("at")), np.asarray(right.column("c"))
-        count = np.zeros(len(at), np.int64)
-        count[at] = c
-        logs = np.log10(count + 1.0)
-        for i in range(len(left)):
-            x = Portion.of(left, i)
-            starts = np.cumsum(x.size) - x.size
-            before, now, want, place = chunks(lm, x.lead[x.stream], x.size, lm.begin)
-            got = lm.score(before, now, want, leads=True).ravel()[place]
-            words, spelling = np.flatnonzero(x.rest_size), np.zeros(len(x.lead))
-            spelling[words] = lm.lead_share[x.lead[words]] + _rests(lm, x.lead[words], x.rest.astype(np.int64), x.rest_size[words])
-            cls = lm.lead_class[x.lead]
-            share = np.logaddexp(np.log(np.maximum(count, 1e-300)), np.log(kinds[cls] + 1) + spelling) - np.log(held[cls] + kinds[cls] + 1)
-            score = np.add.reduceat(got + share[x.stream], starts) / np.log(10)
-            base = np.add.reduceat(logs[x.stream], starts) - x.size * floor
-            seen = np.add.reduceat((count[x.stream] > 0).astype(np.int64), starts)
-            out.append(pa.table([left.column("doc_id")[i].values, left.column("held")[i].values, x.size, seen, np.full(len(x.size), n), base, score], schema=empty))
-        return pa.concat_tables(out) if out else empty.empty_table()
-
-    left = portions.select("block", "doc_id", "held", "size", "stream", "spelt").groupBy("block")
+    def scored(batch: pa.RecordBatch, i: int) -> pa.RecordBatch:
+        x, lm, found = Portion.of(batch, i), model.value, _records(batch.column("found")[i].values, FOUND)
+        count = np.zeros(len(x.lead), np.int64)
+        count[found["at"]] = found["c"]
+        starts = np.cumsum(x.size) - x.size
+        before, now, want, place = chunks(lm, x.lead.astype(np.int32)[x.stream], x.size, lm.begin)
+        got = lm.score(before, now, want, leads=True).ravel()[place]
+        del before, now, want, place
+        words, spelling = np.flatnonzero(x.rest_size), np.zeros(len(x.lead))
+        spelling[words] = lm.lead_share[x.lead[words]] + _rests(lm, x.lead[words], x.rest.astype(np.int64), x.rest_size[words])
+        cls = lm.lead_class[x.lead]
+        share = np.logaddexp(np.log(np.maximum(count, 1e-300)), np.log(kinds[cls] + 1) + spelling) - np.log(held[cls] + kinds[cls] + 1)
+        score = np.add.reduceat(got + share[x.stream], starts) / np.log(10)
+        base = np.add.reduceat(np.log10(count + 1.0)[x.stream], starts) - x.size * floor
+        seen = np.add.reduceat((count > 0)[x.stream].astype(np.int64), starts)
+        columns = [batch.column("doc_id")[i].values, batch.column("held")[i].values, x.size, seen, np.full(len(x.size), n), base, score]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=empty)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                yield scored(batch, i)
+
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return left.cogroup(counts.select("block", "at", "c").groupBy("block")).applyInArrow(run, schema).select(*names)
+    return portions.select("doc_id", "held", "size", "stream", "spelt", "found").mapInArrow(tidied(run), schema)
 
 
 def public_vocabulary() -> tuple[str, str]:

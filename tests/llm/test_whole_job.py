@@ -181,3 +181,23 @@ def test_language_model_spells_each_training_word_once(spark):
     together, sizes = words.subwords(list(want))
     alone = [words.enc.encode_ordinary(" " + w.decode()) for w in want]
     assert together.tolist() == [i for x in alone for i in x] and sizes.tolist() == [len(x) for x in alone]
+
+
+def test_language_model_counts_travel_in_few_rows_and_are_whole(spark):
+    """A row for each portion and bucket of hashes, not for each word; also for words whose first portion has them in held-out rows only."""
+    out = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [(i, "zebra yak w1" if i == out else f"w{i} w{i % 50} Alpha\x0b" + " x".join(f"{i % 9}{k}" for k in range(40))) for i in range(400)] + [(400, "zebra  yak"), (401, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.where(F.col("doc_id") == out).coalesce(1).union(docs.where(F.col("doc_id") != out).repartition(3))
+    portions, counts = attention_lm.counted(texts(docs), *attention_lm.public_vocabulary())
+    words = [(i, (t or "").encode().lower().split()) for i, t in rows]
+    learned = Counter(w for i, t in words for w in [*t, None] if zlib.crc32(str(i).encode()) % 7 != 2)
+    words_of = [len({w for i, t in words if i in r["doc_id"] for w in [*t, None]}) for r in portions.orderBy("block").collect()]
+    found = [len(r["found"]) for r in portions.orderBy("block").collect()]
+    assert len(found) == 4 and sum(found) < 0.1 * sum(words_of)
+    assert [r["count"] for r in counts.groupBy("block").count().orderBy("block").collect()] == words_of
+    assert sorted(r["c"] for r in counts.where("first").collect()) == sorted(learned.values())
+    n, v = sum(learned.values()), len(learned)
+    want = {i: sum(np.log10((learned[w] + 1) / (n + v + 1)) for w in [*t, None]) for i, t in words}
+    got = attention_lm.score_documents(docs, *attention_lm.public_vocabulary()).collect()
+    assert {r["train_tokens"] for r in got} == {n} and all(abs(r["base_score"] - want[r["doc_id"]]) < 1e-8 for r in got)
