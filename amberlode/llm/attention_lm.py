@@ -386,8 +386,9 @@ class Words(dict):
 def _pick(flat: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The runs numbered at of runs of these sizes laid end to end."""
     own = size[at]
-    shift = np.cumsum(size)[at] - size[at] - (np.cumsum(own) - own)
-    return flat[np.arange(int(own.sum())) + np.repeat(shift, own)]
+    place = np.repeat(np.cumsum(size)[at] - own - (np.cumsum(own) - own), own)
+    place += np.arange(len(place))
+    return flat[place]
 
 
 def _spellings(model: Model, lead: np.ndarray, goals: np.ndarray, size: np.ndarray) -> Iterator[tuple]:
@@ -488,26 +489,38 @@ class Portion:
         own = docs * np.int64(len(self.lead))
         own += stream
         del docs, stream, learned
-        doc, word = np.divmod(_distinct(own), len(self.lead))
+        doc, word = (x.astype(np.int32) for x in np.divmod(_distinct(own), len(self.lead)))
+        del own
         inner = self.lead[word] != end
         doc, word = doc[inner], word[inner]
-        size = np.maximum(self.rest_size - 1, 0)
-        bare = self.rest[self.rest != total - 1]
-        held = {"lead": (doc, self.lead[word]), "rest": (np.repeat(doc, size[word]), _pick(bare, size, word))}
-        held = {k: np.divmod(_distinct(i * len(self.size) + d), len(self.size)) for k, (d, i) in held.items()}
-        ids, doc = held["lead"]
-        order = np.argsort(doc.astype(np.uint16) if len(self.size) <= 1 << 16 else doc, kind="stable")
-        ways = np.zeros((len(self.size), way.shape[1]), np.float32)
-        if len(order):
-            starts = np.flatnonzero(np.r_[True, np.diff(doc[order]) > 0])
-            ways[doc[order][starts]] = _run_sums(way, ids[order], starts)
-        ways /= np.maximum(np.sqrt((ways * ways).sum(1, keepdims=True)), np.float32(1e-12))
-        for name, (ids, doc) in held.items():
+
+        def held(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The distinct pairs, by id."""
+            pairs = ids * np.int64(len(self.size))
+            pairs += doc
+            return tuple(x.astype(np.int32) for x in np.divmod(_distinct(pairs), len(self.size)))
+
+        def add(name: str, ids: np.ndarray, doc: np.ndarray) -> None:
             if len(ids):
                 starts = np.flatnonzero(np.r_[True, np.diff(ids) > 0])
                 into[f"{name}_docs"][ids[starts], 0] += np.diff(np.append(starts, len(ids)))
                 into[f"{name}_way"][ids[starts]] += _run_sums(ways, doc, starts)
 
+        pair = held(self.lead.astype(np.int32)[word], doc)
+        order = np.argsort(pair[1].astype(np.uint16) if len(self.size) <= 1 << 16 else pair[1], kind="stable")
+        ways = np.zeros((len(self.size), way.shape[1]), np.float32)
+        if len(order):
+            by_doc = pair[1][order]
+            starts = np.flatnonzero(np.r_[True, np.diff(by_doc) > 0])
+            ways[by_doc[starts]] = _run_sums(way, pair[0][order], starts)
+            del by_doc
+        del order
+        ways /= np.maximum(np.sqrt((ways * ways).sum(1, keepdims=True)), np.float32(1e-12))
+        add("lead", *pair)
+        size = np.maximum(self.rest_size - 1, 0)
+        bare = self.rest[self.rest != total - 1]
+        add("rest", *held(_pick(bare, size, word), np.repeat(doc, size[word])))
+
     def train(self, model: Model, fresh: np.ndarray, **how) -> tuple | None:
         parts = []
         if not self.held.all():
@@ -615,12 +628,15 @@ def _portions(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
             nonlocal block
             words.spell()
             flat, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
             size = size + 1
             # 0 is the end, other words are numbered from 1.
             own = np.zeros(int(size.sum()), np.int32)
             inner = np.ones(len(own), bool)
             inner[np.cumsum(size) - 1] = False
-            own[inner] = flat + 1
+            own[inner] = flat
+            own[inner] += 1
+            del flat
             counts = np.bincount(own)
             names = np.flatnonzero(counts)
             names = names[np.argsort(-counts[names], kind="stable")]
