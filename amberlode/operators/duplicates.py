@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +18,8 @@ BANDS = 8
 BUCKET_MOST = 400
 THRESHOLD = 5
 CELLS = 72
+CHUNK, BLOCK = 1 << 18, 1 << 15
+SMALL, FEW = 32, 8
 
 
 def text_grids(documents: DataFrame) -> DataFrame:
@@ -69,6 +76,119 @@ def groups(linked: DataFrame) -> DataFrame:
         label = new
 
 
+def spots(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """spot and bits, a row for each set of BANDS - threshold bands: which bands, and what they hold.
+
+    Bits within the threshold agree in so many bands at least, so they share a spot. With the
+    threshold of 5 there are 56 sets of three bands, and a spot has 24 of the 64 bits.
+    """
+    def spot(k: int, taken: tuple[int, ...]):
+        held = F.lit(k).cast("bigint")
+        for b in taken:
+            held = F.shiftleft(held, 8).bitwiseOR(F.shiftrightunsigned("bits", 8 * b).bitwiseAND(F.lit(255)))
+        return held
+
+    return distinct.select("bits", F.explode(F.array(*[spot(k, taken) for k, taken in enumerate(combinations(range(BANDS), BANDS - threshold))])).alias("spot"))
+
+
+def _crowded(held: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places that connect what links within the threshold connect, of many values that may be near each other.
+
+    A block of values is compared with all that are left. Where it has few links, these are the pairs, and the
+    block is done; else one component is followed to its end, whose members are compared with those outside only.
+    So there are a few pairs a value at most, and where most values hang together, few comparisons.
+    """
+    left = np.arange(len(held))
+    while len(left) > 1:
+        block = min(len(left), max(1, BLOCK // len(left)))
+        near = np.bitwise_count(held[:block, None] ^ held) <= threshold
+        links_of = np.count_nonzero(near, axis=1)
+        if links_of.sum() <= FEW * block:
+            one, other = np.nonzero(near)
+            yield left[one], left[other]
+            left, held = left[block:], held[block:]
+            continue
+        first = int(links_of.argmax())
+        met, root, ahead = near[first], left[first], held[:0]
+        while met.any() or len(ahead):
+            if met.any():
+                yield np.full(np.count_nonzero(met), root), left[met]
+                ahead = np.concatenate([ahead, held[met]])
+                left, held = left[~met], held[~met]
+            if not len(left):
+                break
+            block = max(1, BLOCK // len(left))
+            met = (np.bitwise_count(ahead[:block, None] ^ held) <= threshold).any(axis=0)
+            ahead = ahead[block:]
+
+
+def linked_within(spot: np.ndarray, bits: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that join all of bits that a spot holds and links within the threshold connect: one less than values of a component at most.
+
+    spot is in order.
+    """
+    bits = bits.view(np.uint64)
+    starts = np.flatnonzero(np.r_[True, spot[1:] != spot[:-1]]) if len(spot) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(spot)])
+    end, many = np.repeat(starts + sizes, sizes), np.repeat(sizes > SMALL, sizes)
+    near, with_ = [], []
+    at = np.flatnonzero(~many)
+    for step in range(1, SMALL):
+        at = at[at + step < end[at]]
+        met = at[np.bitwise_count(bits[at] ^ bits[at + step]) <= threshold]
+        near.append(met)
+        with_.append(met + step)
+    for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        for one, other in _crowded(bits[start : start + size], threshold):
+            near.append(start + one)
+            with_.append(start + other)
+    # The links of all spots, on the values themselves: a value keeps one pair, with the first of its component.
+    values, ends = np.unique(np.concatenate([bits[np.concatenate(x)] for x in (near, with_)]), return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    label = np.arange(len(values))
+    while ((of_a := label[a]) != (of_b := label[b])).any():
+        for of in (of_a, of_b):
+            np.minimum.at(label, of, np.minimum(of_a, of_b))
+        while (label[label] != label).any():
+            label = label[label]
+    rest = np.flatnonzero(label != np.arange(len(values)))
+    return values[label[rest]].view(np.int64), values[rest].view(np.int64)
+
+
+def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """a, b of distinct bits whose components are those of all pairs within the threshold; no bucket is left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def found(whole: bool) -> Iterator[pa.RecordBatch]:
+            spot, bits = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            cut = len(spot) if whole else int(np.searchsorted(spot, spot[-1]))
+            held[:] = [(spot[cut:], bits[cut:])]
+            a, b = linked_within(spot[:cut], bits[:cut], threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            held.append(tuple(batch.column(k).to_numpy() for k in ("spot", "bits")))
+            n += batch.num_rows
+            if n >= CHUNK:
+                yield from found(False)
+                # A spot of more members waits until as many have come again.
+                n = -len(held[0][0]) if len(held[0][0]) >= CHUNK else len(held[0][0])
+        if held:
+            yield from found(True)
+
+    return spots(distinct, threshold).repartition("spot").sortWithinPartitions("spot").mapInArrow(run, "a long, b long")
+
+
+def whole_groups(hashed: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """groups of all pairs within the threshold, buckets of any size included: components of distinct bits, then of the hashes that have them."""
+    rows = stored(hashed.select("hash", "bits"), "hashed")
+    found = groups(links(rows.select("bits").distinct(), threshold)).select(F.col("hash").alias("bits"), F.col("root").alias("label"))
+    named = stored(rows.join(found, "bits", "left").select("hash", F.coalesce("label", "bits").alias("label")), "named")
+    roots = named.groupBy("label").agg(F.min("hash").alias("root"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return named.join(roots, "label").select("hash", "root")
+
+
 def keepers(grouped: DataFrame, members: DataFrame) -> DataFrame:
     """Members of each group by pixels, size, time and hash; the first is kept, the others are waste."""
     order = W.partitionBy("root").orderBy(F.desc("pixels"), F.desc("size"), F.coalesce("captured_at", F.lit("9999")), "hash")

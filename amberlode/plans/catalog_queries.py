@@ -320,6 +320,8 @@ grouped as (select hash, min(root) as root from reach group by hash)
 _KEEP = _GROUPS + """,
 placed as (select g.hash, g.root, f.size, row_number() over (partition by g.root order by f.size desc, f.doc_id) as place from grouped g join (select hash, min(doc_id) as doc_id, min(size) as size from source_file group by hash) f using (hash))
 """
+#: With buckets of any size.
+_KEEP_WHOLE = _KEEP.replace("having count(*) between 2 and 400", "having count(*) >= 2")
 
 
 def _hashed(s, d):
@@ -346,10 +348,10 @@ def near_dup_groups(s, d):
     return D.groups(D.pairs(_hashed(s, d)))
 
 
-def _ranked(s, d):
+def _ranked(s, d, whole=False):
     files = C.first_seen(T.source_file(s, d))
     members = files.select("hash", F.col("size").alias("pixels"), F.col("size"), F.lpad(F.col("doc_id").cast("string"), 20, "0").alias("captured_at"))
-    return D.keepers(D.groups(D.pairs(_hashed(s, d))), members)
+    return D.keepers(D.whole_groups(_hashed(s, d)) if whole else D.groups(D.pairs(_hashed(s, d))), members)
 
 
 @query("keeper_rank", _KEEP + "select hash, root, cast(place as integer) as place, place = 1 as keeper from placed")
@@ -357,9 +359,9 @@ def keeper_rank(s, d):
     return _ranked(s, d).select("hash", "root", "place", "keeper")
 
 
-@query("wasted_bytes", _KEEP + "select root, count(*) as members, cast(sum(case when place = 1 then 0 else size end) as bigint) as wasted_bytes from placed group by root")
+@query("wasted_bytes", _KEEP_WHOLE + "select root, count(*) as members, cast(sum(case when place = 1 then 0 else size end) as bigint) as wasted_bytes from placed group by root")
 def wasted_bytes(s, d):
-    return D.wasted(_ranked(s, d))
+    return D.wasted(_ranked(s, d, whole=True))
 
 
 _MARKS = """,
