@@ -183,7 +183,9 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def whole_groups(hashed: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """groups of all pairs within the threshold, buckets of any size included: components of distinct bits, then of the hashes that have them."""
     rows = stored(hashed.select("hash", "bits"), "hashed")
-    found = groups(links(rows.select("bits").distinct(), threshold)).select(F.col("hash").alias("bits"), F.col("root").alias("label"))
+    # groups reads the links in both directions; worked out twice, they may be other pairs where partitions are joined otherwise.
+    linked = stored(links(rows.select("bits").distinct(), threshold), "linked")
+    found = groups(linked).select(F.col("hash").alias("bits"), F.col("root").alias("label"))
     named = stored(rows.join(found, "bits", "left").select("hash", F.coalesce("label", "bits").alias("label")), "named")
     roots = named.groupBy("label").agg(F.min("hash").alias("root"), F.count("*").alias("n")).where("n > 1").drop("n")
     return named.join(roots, "label").select("hash", "root")
